@@ -14,6 +14,9 @@ import pyarrow as pa
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[list(SEPARATORS)] = True
+#: Bytes that are no ASCII letter or digit, or no ASCII letter; the bytes of other letters are neither.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+NOT_ALPHA = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _R = 0x9E3779B97F4A7C15 | 1
@@ -69,13 +72,16 @@ def string_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nd
 
 
 class WordBatch:
-    """Words of a string column: ``start``/``end`` byte positions, ``first`` word of each row, ``hash``."""
+    """Words of a string column: ``start``/``end`` byte positions, ``first`` word of each row, ``hash``.
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False) -> None:
+    ``apart`` marks the bytes between words; by default ASCII white space.
+    """
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False, apart: np.ndarray = _IS_SEP) -> None:
         buf, self.offsets = string_buffer(column)
         self.buf = _LOWER[buf] if lower else buf
         n = len(buf)
-        inside = ~_IS_SEP[buf]
+        inside = ~apart[buf]
         cut = np.zeros(n + 1, dtype=bool)
         cut[self.offsets] = True
         before = np.empty(n, dtype=bool)
