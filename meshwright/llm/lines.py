@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWEST, key, pieces, scratch, table, unkey
 from .repeats import RepeatFilter, filter_bits, repeat_filter
@@ -112,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = scratch(drops, "drops")
     suspected = rows.mapInArrow(_suspects(min_chars, shared, "with"), rows.schema).join(drops, "id", "left")
     clean = rows.mapInArrow(_suspects(min_chars, shared, "without"), rows.schema).withColumn("drops", F.lit(None).cast("array<string>"))
-    out = clean.unionByName(suspected).select("id", "text", "row", "drops").mapInArrow(_apply, f"id long, text string, row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long")
+    out = clean.unionByName(suspected).select("id", "text", "row", "drops").mapInArrow(_apply, T.StructType(rows.schema.fields).add("n_lines", "long").add("n_dropped", "long"))
     return out.withColumn("id", unkey(F.col("id"), LOWEST))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, secrets_scan, simhash, warc
+from . import decontaminate, langid, lines, mixing, ogg, passages, secrets_scan, simhash, toxicity, warc
 from .common import documents, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,27 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_passages(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.digest(ogg.to_media(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.predict(docs, langid.train(docs))
+    return found.select(F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digest(secrets_scan.scan(documents(spark, sf_dir)))
 
@@ -45,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op3_line_dedup": lines.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op9_secrets": secrets_scan.ORACLE, "op10_mix": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op3_line_dedup": lines.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_passages": passages.ORACLE, "op9_secrets": secrets_scan.ORACLE, "op10_mix": mixing.ORACLE}
