@@ -59,7 +59,7 @@ class Model:
         return out
 
 
-def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 4.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1) -> Model:
     """FTRL-proximal over (slots, label) rows in the given order; without both labels the model only knows the prior."""
     n_pos = sum(y for _, y in rows)
     if not 0 < n_pos < len(rows):
