@@ -109,6 +109,21 @@ def item_words(texts: pa.Array) -> list[np.ndarray]:
     return [batch.hash[a:b] for a, b in zip(batch.first[:-1], batch.first[1:], strict=True)]
 
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> Iterator:
+    """Broadcasts of (item ids, item words), a block of the benchmark at a time."""
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (2 * block_words)))  # a word takes two bytes at least
+    for k in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").toArrow().combine_chunks()
+        yield docs.sparkSession.sparkContext.broadcast((own.column("item").to_pylist(), item_words(own.column("text").cast(pa.string()))))
+
+
+def _index(shared) -> tuple[list, SeedIndex]:
+    names, words = shared.value
+    return names, SeedIndex(np.arange(len(names)), words)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1 << 20) -> DataFrame:
     """The documents that hold part of a benchmark item: ``doc_id, item_id, n_words, n_covered``.
 
@@ -119,20 +134,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     empty texts hold nothing, on either side; null ids come back null; repeated
     rows come back once each, repeated items once. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (2 * block_words)))  # a word takes two bytes at least
     thin = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     out = None
-    for k in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow().combine_chunks()
-        ids, texts = own.column("item").combine_chunks(), own.column("text").combine_chunks()
-        shared = spark.sparkContext.broadcast((ids.to_pylist(), item_words(texts)))
+    for shared in _blocks(docs, benchmark, item_col, item_text_col, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, words = shared.value
-            index = SeedIndex(np.arange(len(names)), words)
+            names, index = _index(shared)
             for piece in pieces(batches, "text"):
                 rows = list(index.hits(WordBatch(piece.column(1), lower=True, apart=NOT_ALNUM)))
                 if rows:
@@ -144,6 +151,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``overlaps`` finds nothing in; no shuffle, one pass a block."""
+    rows = docs.select(docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    for shared in _blocks(docs, benchmark, item_col, item_text_col, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            _, index = _index(shared)
+            for piece in pieces(batches, "text"):
+                clean = np.ones(len(piece), dtype=bool)
+                clean[[r for r, *_ in index.hits(WordBatch(piece.column(0), lower=True, apart=NOT_ALNUM))]] = False
+                yield piece.filter(pa.array(clean))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("row.*")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, ws, len(ws) AS n FROM (
