@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A missing id sorts below every id, or above every id, where an operator compares ids.
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 #: Text bytes that one numpy pass works on; a single longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,12 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it cuts lineage, and lost executors don't take it along."""
+    """Write ``df`` to the shared folder and read it back: it cuts lineage, and lost executors don't take it along.
+
+    The shuffle files of the write are of no more use once it is done, and go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshwright-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def key(column: Column, missing: int) -> Column:
@@ -53,6 +73,22 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
             at = to
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run, kind) -> DataFrame:
+    """``mapInArrow`` with batches of about BATCH_BYTES at most: ten thousand texts at once would not fit small executors.
+
+    The session's own bound stays if it is smaller.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH).rstrip("bB")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, kind)
+
+
 def table(names_types: str, *columns) -> pa.RecordBatch:
     """A record batch from columns in the order of a ``name:type`` list."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "longs": pa.list_(pa.int64()), "ints": pa.list_(pa.int32())}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, schema, table
+from .common import arrow_map, pieces, schema, table
 from .tokens import NOT_ALNUM, WordBatch, mix64
 
 MASKS = ("11101011", "11001111")
@@ -146,7 +146,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     r, i, n, c = zip(*rows, strict=True)
                     yield table(HITS, piece.column(0).take(pa.array(r, pa.int64())), [names[x] for x in i], n, c)
 
-        part = thin.mapInArrow(run, schema(HITS))
+        part = thin.transform(arrow_map, run, schema(HITS))
         out = part if out is None else out.union(part)
     return out
 
@@ -163,7 +163,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
                 clean[[r for r, *_ in index.hits(WordBatch(piece.column(0), lower=True, apart=NOT_ALNUM))]] = False
                 yield piece.filter(pa.array(clean))
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = rows.transform(arrow_map, run, rows.schema)
     return rows.select("row.*")
 
 

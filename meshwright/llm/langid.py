@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, schema, scratch, table
+from .common import arrow_map, pieces, schema, scratch, table
 from .tokens import NOT_ALPHA, WordBatch, mix64
 
 #: The model learns from at most so many rows a language, those with the least hash of their id, and so many bytes of them.
@@ -254,4 +254,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     columns = [docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")]
     rows = docs.select(*columns, F.struct(*(docs[c] for c in docs.columns)).alias("row")) if carry else docs.select(*columns)
     kind = T.StructType.fromDDL(schema(PREDICTED))
-    return rows.mapInArrow(run, kind.add("row", rows.schema["row"].dataType) if carry else kind)
+    return rows.transform(arrow_map, run, kind.add("row", rows.schema["row"].dataType) if carry else kind)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWEST, key, pieces, scratch, table, unkey
+from .common import LOWEST, arrow_map, key, pieces, scratch, table, unkey
 from .repeats import RepeatFilter, filter_bits, repeat_filter
 from .tokens import SEPARATORS
 
@@ -106,14 +106,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chars = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     data = repeat_filter(thin, _all_hashes(min_chars), filter_bits(chars // max(min_chars, 1) // 2))
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    suspects = scratch(thin.mapInArrow(_suspects(min_chars, shared, "keys"), "id long, key string"), "suspects")
+    suspects = scratch(thin.transform(arrow_map, _suspects(min_chars, shared, "keys"), "id long, key string"), "suspects")
     once = suspects.distinct()
     repeated = scratch(once.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("key", "keeper"), "repeated")
     drops = once.join(repeated, "key").filter("id <> keeper").groupBy("id").agg(F.collect_list("key").alias("drops"))
     drops = scratch(drops, "drops")
-    suspected = rows.mapInArrow(_suspects(min_chars, shared, "with"), rows.schema).join(drops, "id", "left")
-    clean = rows.mapInArrow(_suspects(min_chars, shared, "without"), rows.schema).withColumn("drops", F.lit(None).cast("array<string>"))
-    out = clean.unionByName(suspected).select("id", "text", "row", "drops").mapInArrow(_apply, T.StructType(rows.schema.fields).add("n_lines", "long").add("n_dropped", "long"))
+    suspected = rows.transform(arrow_map, _suspects(min_chars, shared, "with"), rows.schema).join(drops, "id", "left")
+    clean = rows.transform(arrow_map, _suspects(min_chars, shared, "without"), rows.schema).withColumn("drops", F.lit(None).cast("array<string>"))
+    out = clean.unionByName(suspected).select("id", "text", "row", "drops").transform(arrow_map, _apply, T.StructType(rows.schema.fields).add("n_lines", "long").add("n_dropped", "long"))
     return out.withColumn("id", unkey(F.col("id"), LOWEST))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch
+from .common import arrow_map, pieces, scratch
 
 CAPTURE = b"OggS"
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -192,7 +192,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], names=["id", "n_bytes", "media"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return scratch(rows.mapInArrow(run, "id long, n_bytes long, media binary"), "media")
+    return scratch(rows.transform(arrow_map, run, "id long, n_bytes long, media binary"), "media")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -211,4 +211,4 @@ def digest(media: DataFrame) -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *cols], names=names)
 
-    return media.mapInArrow(run, DIGEST)
+    return media.transform(arrow_map, run, DIGEST)

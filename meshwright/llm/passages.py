@@ -29,7 +29,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIGHEST, key, pieces, scratch, unkey
+from .common import HIGHEST, arrow_map, discard, key, pieces, scratch, unkey
 from .repeats import RepeatFilter, filter_bits, repeat_filter
 from .tokens import WordBatch, mix64, rolling
 
@@ -196,18 +196,22 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = scratch(texts.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("sha", "first"), "firsts")
     copies = scratch(texts.join(firsts, "sha").filter("id > first").select("id", "sha").distinct(), "copies")
     mark = F.xxhash64("text").bitwiseAND(F.lit((1 << (63 - POSITION_BITS)) - 1))
-    work = rows.join(copies.withColumn("copy", F.lit(True)), ["id", "sha"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), mark.alias("mark"))
+    # the copies grow with the corpus, so they are never broadcast
+    work = rows.join(copies.withColumn("copy", F.lit(True)).hint("merge"), ["id", "sha"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), mark.alias("mark"))
     work = scratch(work, "work")
+    discard(texts, firsts, copies)
     chars = work.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     data = repeat_filter(work.select("id", "text", "copy"), _anchor_hashes(window), filter_bits(chars // 30))
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    found = scratch(work.mapInArrow(_windows(window, shared), "h1 long, h2 int, id long, place long"), "windows")
+    found = scratch(work.transform(arrow_map, _windows(window, shared), "h1 long, h2 int, id long, place long"), "windows")
     recurring = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h1", "h2", "first")
     recurring = scratch(recurring, "recurring")
     places = found.join(recurring, ["h1", "h2"]).filter("id > first").groupBy("id").agg(F.collect_list("place").alias("places"))
-    suspected = work.mapInArrow(_chosen(window, shared, True), work.schema).join(places, "id", "left")
-    clean = work.mapInArrow(_chosen(window, shared, False), work.schema).withColumn("places", F.lit(None).cast("array<long>"))
-    out = suspected.select(*clean.columns).union(clean).mapInArrow(_remove(window, shard_chars), "id long, text string, n_words long, n_removed long")
+    places = scratch(places, "places")
+    discard(found, recurring)
+    suspected = work.transform(arrow_map, _chosen(window, shared, True), work.schema).join(places, "id", "left")
+    clean = work.transform(arrow_map, _chosen(window, shared, False), work.schema).withColumn("places", F.lit(None).cast("array<long>"))
+    out = suspected.select(*clean.columns).union(clean).transform(arrow_map, _remove(window, shard_chars), "id long, text string, n_words long, n_removed long")
     return out.withColumn("id", unkey(F.col("id"), HIGHEST))
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import schema, table
+from .common import arrow_map, schema, table
 from .tokens import mix64
 
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
@@ -108,8 +108,8 @@ def repeat_filter(rows: DataFrame, distinct: Callable[[Iterator[pa.RecordBatch]]
     ``distinct`` must yield a hash once for each document that holds it. The
     filter comes to the driver, ``bits`` / 8 bytes at most.
     """
-    parts = rows.mapInArrow(_build(distinct, bits), schema(PART))
-    merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge, schema("chunk:long twice:binary"))
+    parts = rows.transform(arrow_map, _build(distinct, bits), schema(PART))
+    merged = parts.repartition("chunk").sortWithinPartitions("chunk").transform(arrow_map, _merge, schema("chunk:long twice:binary"))
     data = np.zeros(bits // 8, np.uint8)
     step = min(CHUNK, bits // 8)
     for row in merged.collect():

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIGHEST, key, pieces, schema, scratch, table, unkey
+from .common import HIGHEST, arrow_map, key, pieces, schema, scratch, table, unkey
 from .components import components
 
 FANOUT = 8
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
             texts = piece.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             yield table(FP, piece.column(0), [fingerprint(t, words, seed) for t in texts])
 
-    return docs.select("id", "text").mapInArrow(run, schema(FP))
+    return docs.select("id", "text").transform(arrow_map, run, schema(FP))
 
 
 # -- the index ------------------------------------------------------------------------------------------------------
@@ -209,7 +209,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2, bucket_limit: int
     rows = rows.withColumn("head", head).join(counts, ["combo", "head"])
     usual = rows.filter(F.col("n") <= bucket_limit).select("combo", "rank", "node", "head")
     usual = usual.repartition("combo", "head").sortWithinPartitions("combo", "rank").drop("head")
-    usual = usual.mapInArrow(_search(max_bits), schema(EDGE))
+    usual = usual.transform(arrow_map, _search(max_bits), schema(EDGE))
     low = F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", 1)).bitwiseAND(F.lit(0xFFFFFFFF))
     near = F.array(low, *(low.bitwiseXOR(F.lit(1 << k)) for k in range(32)))
     hot = rows.filter(F.col("n") > bucket_limit).select("combo", "head", "node", F.explode(near).alias("near"))

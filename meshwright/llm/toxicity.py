@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import arrow_map, pieces, table
 from .tokens import NOT_ALNUM, WordBatch, mix64
 
 BITS = 20
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f = [x.astype(np.int32).tobytes() for x in features(WordBatch(piece.column(1), lower=True, apart=NOT_ALNUM))]
             yield table("id:long y:int x:binary", piece.column(0), piece.column(2), f)
 
-    found = rows.mapInArrow(run, "id long, y int, x binary").toArrow()
+    found = rows.transform(arrow_map, run, "id long, y int, x binary").toArrow()
     found = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True), key=lambda r: (int(mix64(np.array([r[0]], np.int64).view(np.uint64))[0]), r[2]))
     return fit([(np.frombuffer(x, np.int32), y) for _, y, x in found])
 
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             sums = np.array([w[x].sum() for x in features(WordBatch(piece.column(1), lower=True, apart=NOT_ALNUM))])
             yield table(SCORE, piece.column(0), 1 / (1 + np.exp(-np.clip(m.bias + sums, -30, 30))))
 
-    return _text(docs, id_col, text_col).mapInArrow(run, "id long, score double")
+    return _text(docs, id_col, text_col).transform(arrow_map, run, "id long, score double")
 
 
 def held_out(id_col):

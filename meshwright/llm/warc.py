@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWEST, key, pieces, scratch
+from .common import LOWEST, arrow_map, key, pieces, scratch
 
 ARCHIVE_BYTES = 8 << 20
 STEP = 1 << 16
@@ -81,7 +81,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
         if held:
             yield out()
 
-    return records.select("record_id", "uri", "payload", "payload_digest", "refers_to").mapInArrow(run, "archive long, data binary")
+    return records.select("record_id", "uri", "payload", "payload_digest", "refers_to").transform(arrow_map, run, "archive long, data binary")
 
 
 # -- reading --------------------------------------------------------------------------------------------------------
@@ -158,7 +158,7 @@ def read_archives(archives: DataFrame, column: str = "data", strict: bool = True
                 if held:
                     yield pa.RecordBatch.from_pylist(held, pa.schema(_TYPES))
 
-    return archives.select(column).mapInArrow(run, RECORD)
+    return archives.select(column).transform(arrow_map, run, RECORD)
 
 
 def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
