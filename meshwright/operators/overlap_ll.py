@@ -93,7 +93,7 @@ def regrid(fields: DataFrame, b: HntrSpec, a: HntrSpec, wtm: float = 1.0, wtb: f
     cells = rows.join(_small(lon_overlap(spark, b, a), a.im + b.im), "ia")
     sums = cells.groupBy(*by, (F.col("jb").cast("long") * b.im + F.col("ib")).alias("idx")).agg(F.sum(F.col("wv") * F.col("f")).alias("wv"), F.sum(F.col("wt") * F.col("f")).alias("wt"))
     if by:
-        every = sums.select(*by).distinct().join(F.broadcast(spark.range(b.size).withColumnRenamed("id", "idx"))) if b.size <= MAX_BROADCAST else sums.select(*by, "idx")
+        every = sums.select(*by).distinct().crossJoin(spark.range(b.size).withColumnRenamed("id", "idx"))
         sums = every.join(sums, [*by, "idx"], "left")
     else:
         sums = spark.range(b.size).withColumnRenamed("id", "idx").join(sums, "idx", "left")
@@ -107,6 +107,26 @@ def regrid(fields: DataFrame, b: HntrSpec, a: HntrSpec, wtm: float = 1.0, wtb: f
     return out if missing is None else out.withColumn("value", F.coalesce("value", F.lit(float(missing))))
 
 
+def regrid_many(fields: DataFrame, columns: tuple[str, ...], b: HntrSpec, a: HntrSpec, weight: str | None = None, mean_polar: bool = False) -> DataFrame:
+    """``(idx, *columns)`` of several fields with common weights (1 without ``weight``), in the two shuffles that one takes."""
+    spark = fields.sparkSession
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    src = fields.select(F.expr(f"cast(idx div {a.im} as int)").alias("ja"), F.pmod("idx", F.lit(a.im)).cast("int").alias("ia"), w.alias("_w"), *(F.col(c).cast("double").alias(c) for c in columns))
+    src = src.join(_small(lat_overlap(spark, b, a), a.jm + b.jm), "ja")
+    share = F.col("g") * F.col("_w")
+    parts = [x for c in columns for x in (F.sum(share * F.col(c)).alias(f"v_{c}"), F.sum(F.when(F.col(c).isNotNull(), share)).alias(f"t_{c}"))]
+    cells = src.groupBy("jb", "ia").agg(*parts).join(_small(lon_overlap(spark, b, a), a.im + b.im), "ia")
+    sums = cells.groupBy((F.col("jb").cast("long") * b.im + F.col("ib")).alias("idx")).agg(*(F.sum(F.col(f"{k}_{c}") * F.col("f")).alias(f"{k}_{c}") for c in columns for k in "vt"))
+    out = spark.range(b.size).withColumnRenamed("id", "idx").join(sums, "idx", "left")
+    out = out.select("idx", *(F.try_divide(F.col(f"v_{c}"), F.when(F.col(f"t_{c}") != 0, F.col(f"t_{c}"))).alias(c) for c in columns))
+    if mean_polar:
+        j = F.expr(f"idx div {b.im}")
+        row = Window.partitionBy(j)
+        mean = lambda c: F.when(F.count(c).over(row) == b.im, F.avg(c).over(row))
+        out = out.select("idx", *(F.when((j == 0) | (j == b.jm - 1), mean(c)).otherwise(F.col(c)).alias(c) for c in columns))
+    return out
+
+
 def nested_parent(idx: Column, fine: HntrSpec, coarse: HntrSpec) -> Column:
     """The cell of ``coarse`` that holds a cell of ``fine``, by integer division; the grids must nest."""
     if fine.im % coarse.im or fine.jm % coarse.jm or fine.offi != coarse.offi * (fine.im / coarse.im):

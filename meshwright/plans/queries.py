@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_grid, queries_matrix, queries_topo  # noqa: F401
+from . import queries_grid, queries_matrix, queries_products, queries_topo  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
