@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import discard, scratch
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -13,10 +13,10 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _star(pairs: DataFrame, name: str) -> DataFrame:
+def _star(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """For each u: link its neighbours to the least of them and u. Both join sides are stored, so AQE can split a hot u."""
     least = scratch(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
-    return pairs.join(least, "u")
+    return pairs.join(least, "u"), least
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,11 +33,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = now.union(now.select("v", "u"))
-        large = _star(both, "large").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, least = _star(both, "large")
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch(large.filter("u <> v").distinct(), "large")
-        small = _star(large, "small")
+        small, less = _star(large, "small")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = scratch(small.filter("u <> v").distinct(), "edges")
+        old, now = now, scratch(small.filter("u <> v").distinct(), "edges")
+        discard(old, least, large, less)
         after = _digest(now)
         if after == before:
             break

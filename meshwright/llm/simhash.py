@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIGHEST, arrow_map, key, pieces, schema, scratch, table, unkey
+from .common import HIGHEST, arrow_map, discard, key, pieces, schema, scratch, table, unkey
 from .components import components
 
 FANOUT = 8
@@ -232,8 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = fps.groupBy("fp").agg(F.min("id").alias("id"))
     ids = scratch(ids, "ids")
     rooted = scratch(components(fingerprint_links(ids.select("fp", F.col("fp").alias("node")), max_bits, bucket_limit)), "rooted")
-    ids = scratch(ids.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    alone = ids
+    ids = scratch(alone.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     best = scratch(ids.groupBy("root").agg(F.min("id").alias("component")), "best")
     least = scratch(ids.join(best, "root").select("fp", "component"), "class")
+    discard(alone, rooted, ids, best)
     out = fps.join(least, "fp")
     return out.select(unkey(F.col("id"), HIGHEST).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), unkey(F.col("component"), HIGHEST).alias("component_id"))

@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, table
+from .common import arrow_map, pieces, scratch, table
 from .tokens import NOT_ALNUM, WordBatch, mix64
 
 BITS = 20
 #: The classifier learns from at most so many labelled rows, those with the least hash of their id.
 SAMPLE_ROWS = 8000
+#: and at most so many bytes of their texts.
+SAMPLE_BYTES = 48 << 20
 SCORE = "id:long score:double"
 
 
@@ -92,8 +94,8 @@ def _text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on the labelled documents outside the held-out fifth, ``sample_rows`` of them at most.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on the labelled documents outside the held-out fifth, ``sample_rows`` of them and ``sample_bytes`` of text at most.
 
     Labels other than 0 and 1 are ignored; of several for one id the largest
     counts. The sample's ids are broadcast, 8 bytes each; its features come to the
@@ -101,6 +103,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marks = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).filter("y in (0, 1) and id is not null").filter(~held_out(F.col("id")))
     marks = marks.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    sizes = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).alias("bytes")).join(F.broadcast(marks), "id")
+    upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id", "bytes").rowsBetween(Window.unboundedPreceding, 0))  # over the sample only
+    marks = scratch(sizes.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select("id", "y").distinct(), "marks")
     rows = _text(docs, id_col, text_col).join(F.broadcast(marks), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
