@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..workers import reachable
 
 Point = tuple[float, float]
 
@@ -51,6 +52,7 @@ def exchange_grid(a: DataFrame, i: DataFrame, tile: float | None = None, tiny: f
     a cell of the finer grid times four. Cells of both grids must be convex; others
     raise. Overlaps up to ``tiny`` times the smaller cell are dropped.
     """
+    reachable(a.sparkSession)
     a = a.select(F.col("cell_id").alias("a_id"), F.col("ring").alias("ra"), geometry.box(F.col("ring")).alias("ba"))
     i = i.select(F.col("cell_id").alias("i_id"), F.col("ring").alias("ri"), geometry.box(F.col("ring")).alias("bi"))
     if tile is None:

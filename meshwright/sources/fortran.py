@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
+
 TITLE = 80
 
 
@@ -60,6 +62,7 @@ def read_titled(spark: SparkSession, path: str, dtype: str = "f4", big_endian: b
                     j, i = np.divmod(np.arange(jm * im), im)
                     yield pd.DataFrame({"path": name, "record": k, "title": rec[:TITLE].decode("latin-1").rstrip(), "j": j.astype("i4"), "i": i.astype("i4"), "value": values})
 
+    reachable(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, record int, title string, j int, i int, value double")
 
@@ -79,6 +82,7 @@ def read_untitled(spark: SparkSession, path: str, im: int, jm: int, names: list[
                     at = np.arange(own.start, own.stop)
                     yield pd.DataFrame({"j": (at // im).astype("i4"), "i": (at % im).astype("i4")} | {n: f[own] for n, f in zip(names, fields, strict=True)})
 
+    reachable(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, "j int, i int, " + ", ".join(f"{n} double" for n in names))
 
