@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
+
 #: A missing id sorts below every id, or above every id, where an operator compares ids.
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 #: Text bytes that one numpy pass works on; a single longer text is a piece of its own.
@@ -82,6 +84,7 @@ def arrow_map(df: DataFrame, run, kind) -> DataFrame:
 
     The session's own bound stays if it is smaller.
     """
+    reachable(df.sparkSession)
     conf = df.sparkSession.conf
     now = conf.get(_BATCH).rstrip("bB")
     if now.isdigit() and int(now) > BATCH_BYTES:

@@ -57,9 +57,10 @@ class Lattice:
     def __init__(self, hashes: np.ndarray, words: list[str]) -> None:
         codes, self.size = _codes(words)
         n, width = codes.shape
-        up, down = np.ones(width + 1, np.uint64), np.ones(width + 1, np.uint64)
-        for k in range(width):
-            up[k + 1], down[k + 1] = up[k] * _R, down[k] * _RINV
+        up, down = np.full(width + 1, _R), np.full(width + 1, _RINV)
+        up[0] = down[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
         sums = np.zeros((n, width + 1), np.uint64)
         np.cumsum(codes * up[:width], axis=1, out=sums[:, 1:])
         self.width, self.none = width, len(hashes)
@@ -212,7 +213,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     near = near.withColumn("k", F.row_number().over(w)).withColumn("sum", F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sample = near.filter((F.col("k") <= sample_rows) & ((F.col("sum") <= sample_bytes) | (F.col("k") == 1))).select("lang", "text")
     counts: dict[str, dict[str, int]] = {}
-    for row in sample.toLocalIterator():
+    for row in sample.collect():
         own = counts.setdefault(row.lang, {})
         for part in pieces(iter([pa.RecordBatch.from_arrays([pa.array([row.text])], names=["text"])]), "text"):
             batch = _batch(part.column(0))
