@@ -33,7 +33,7 @@ _IVE = matrix_sql("IvE", True, True).removeprefix("WITH ").replace(" SELECT CAST
 @query(f"WITH g AS (SELECT idx, sum(massxfer) / sum(weight) AS a, sum(enthxfer) / sum(weight) AS b, sum(deltah) / sum(weight) / 86400 AS c FROM ({_GCM}) GROUP BY 1), {_IVE.replace('round(', '(').replace(', 9) AS val', ') AS val')}) SELECT row AS idx, round(sum(val * a), 6) AS massxfer, round(sum(val * b), 6) AS enthxfer, round(sum(val * c), 6) AS deltah FROM m JOIN g ON idx = col GROUP BY 1")
 def gcm_to_ice(spark: SparkSession, sf: str) -> DataFrame:
     """Inputs of an ice model from class values that come in weighted parts."""
-    there, _ = contract.setup("modele", "echo")
+    there, _ = contract.setup("climate", "echo")
     m = sheet(spark, sf).matrix("IvE", RegridParams(True, True)).M
     return rounded(coupling.to_ice(m, _gcm(spark, sf), there, {"by_dt": _BY_DT}), "massxfer", "enthxfer", "deltah")
 
@@ -42,7 +42,7 @@ def gcm_to_ice(spark: SparkSession, sf: str) -> DataFrame:
   SELECT CAST(e AS BIGINT) AS idx, round(sum(v), 4) AS weight, round(sum(v * elev), 3) AS elev, round(sum(v * p_size / 86400), 6) AS smb FROM w JOIN ({ICE}) USING (i_id) JOIN part ON p_partkey = i_id GROUP BY 1""")
 def ice_to_gcm(spark: SparkSession, sf: str) -> DataFrame:
     """Outputs of an ice model as sums over class cells, with their areas."""
-    _, back = contract.setup("modele", "echo")
+    _, back = contract.setup("climate", "echo")
     size = load(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("mass"), F.lit(0.0).alias("enth"))
     out = ice_mask(spark, sf).withColumnRenamed("i_id", "idx").join(size, "idx")
     got = coupling.to_gcm(sheet(spark, sf).matrix("EvI", RegridParams(False, False)), out, back, {"by_dt": _BY_DT})

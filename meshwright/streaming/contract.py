@@ -135,8 +135,8 @@ def constant(constants: dict[str, tuple[float, str]], name: str, to: str) -> flo
     return value * units.factor(of, to)
 
 
-@contract("modele", "echo")
-def _modele_echo(constants: dict[str, float]) -> tuple[Transformer, Transformer]:
+@contract("climate", "echo")
+def _climate_echo(constants: dict[str, float]) -> tuple[Transformer, Transformer]:
     """Surface mass and enthalpy to the ice, their differences and the surface elevation back."""
     out = VarSet().add("massxfer", "kg m-2 s-1", GRID_ELEVATION).add("enthxfer", "W m-2", GRID_ELEVATION).add("deltah", "J m-2", GRID_ELEVATION)
     ice_in = VarSet().add("massxfer", "kg m-2 s-1", GRID_ICE).add("enthxfer", "W m-2", GRID_ICE).add("deltah", "W m-2", GRID_ICE)

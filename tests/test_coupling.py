@@ -17,7 +17,7 @@ def sheet(spark):
     x = spark.createDataFrame([(k, k % 4, k % 10, 1.0 + k % 3) for k in range(40)], "x_id long, a_id long, i_id long, area double")
     areas = spark.createDataFrame([(a, 20.0 + a, 21.0) for a in range(4)], "a_id long, native_area double, proj_area double")
     elev = spark.createDataFrame([(i, 90.0 * i) for i in range(10)], "idx long, elev double")
-    there, back = contract.setup("modele", "echo")
+    there, back = contract.setup("climate", "echo")
     return coupling.Sheet("s", x, areas, [0.0, 300.0, 600.0, 900.0], 4, coupling.echo_model(elev), there, back)
 
 
@@ -74,7 +74,7 @@ def test_contracts():
     with pytest.raises(ValueError):
         contract.Transformer(v, v, [contract.Term("a", "missing")])
     with pytest.raises(KeyError):
-        contract.setup("modele", "nothing")
+        contract.setup("climate", "nothing")
     assert contract.constant({"lhm": (334.0, "kJ")}, "lhm", "J") == 334000.0
 
 
