@@ -15,7 +15,7 @@ from . import topography
 from .queries_matrix import FACTS, matrix_sql, sheet
 from .regridder import Regridder, merged_classes, projected_areas
 from .registry import load, query
-from .sample import AREAS, EXCHANGE, HCDEFS, ICE, N_A, RASTER, areas, exchange, ice_mask, raster, rounded
+from .sample import AREAS, EXCHANGE, HCDEFS, ICE, N_A, RASTER, areas, exchange, extent, ice_mask, raster, rounded
 
 _BY_DT = 1 / 86400.0
 _GCM = f"SELECT CAST((s_suppkey % 7) * {N_A} + s_suppkey AS BIGINT) AS idx, 1.0::DOUBLE + k AS weight, s_acctbal * (1 + k) AS massxfer, 2.0::DOUBLE * s_suppkey * (1 + k) AS enthxfer, 86400.0::DOUBLE * s_nationkey * (1 + k) AS deltah FROM supplier, range(2) t(k)"
@@ -62,8 +62,9 @@ def class_cell_areas(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT CAST(i AS BIGINT) AS idx, coalesce(proj_area, -1) AS w FROM range(120) t(i) LEFT JOIN ({AREAS}) ON a_id = i")
 def atmosphere_weights(spark: SparkSession, sf: str) -> DataFrame:
-    a = areas(spark, sf).filter("a_id < 120")
-    r = Regridder(spark, a.select("a_id", "native_area"), 120, HCDEFS)
+    """Weights of all suppliers, and the fill for some ids beyond them. The SQL lists the ids below 120, all of them up to 100 suppliers."""
+    a = areas(spark, sf)
+    r = Regridder(spark, a.select("a_id", "native_area"), extent(a, "a_id", 120, 20), HCDEFS)
     r.add_sheet("s", exchange(spark, sf), proj_areas=a.select("a_id", "proj_area"))
     return r.weights("s", native=False, fill=-1.0)
 

@@ -58,6 +58,12 @@ def areas(spark: SparkSession, sf: str) -> DataFrame:
 AREAS = "SELECT s_suppkey AS a_id, 100.0::DOUBLE + s_suppkey % 7 AS native_area, 101.0::DOUBLE + s_suppkey % 5 AS proj_area FROM supplier"
 
 
+def extent(df: DataFrame, column: str, least: int, spare: int) -> int:
+    """The number of cells that hold every key of the table and ``spare`` ids beyond the last, ``least`` cells at least."""
+    last = df.agg(F.max(column)).first()[0]
+    return max(least, spare + (0 if last is None else last + 1))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of a sum does not show; -0 is 0."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
