@@ -10,7 +10,7 @@ from ..operators import coo, elevation, l1, merging
 from ..operators.matrices import SheetMatrices
 from ..operators.smoothing import smoothing_matrix
 from .registry import load, query
-from .sample import AREAS, EXCHANGE, HCDEFS, ICE, N_A, RASTER, areas, exchange, ice_mask, raster, rounded
+from .sample import AREAS, EXCHANGE, HCDEFS, ICE, N_A, RASTER, areas, exchange, extent, ice_mask, raster, rounded
 
 M = f"SELECT a_id AS row, i_id AS col, area AS val FROM ({EXCHANGE})"
 
@@ -55,8 +55,10 @@ def coo_scale_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT CAST(i AS BIGINT) AS idx, round(coalesce(v, -1), 4) AS value FROM range(150) t(i) LEFT JOIN (SELECT row, sum(val * p_retailprice) AS v FROM ({M}) JOIN part ON p_partkey = col WHERE p_size % 2 = 0 GROUP BY row) ON row = i")
 def coo_apply_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the product, and the fill for some ids beyond them. The SQL lists the ids below 150, all of them up to 100 suppliers."""
     v = load(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).alias("value"))
-    return rounded(coo.apply(_m(spark, sf), v, fill=-1.0, n=150), "value", digits=4)
+    m = _m(spark, sf)
+    return rounded(coo.apply(m, v, fill=-1.0, n=extent(m, "row", 150, 50)), "value", digits=4)
 
 
 @query(f"SELECT row, col, val FROM ({M}) WHERE row IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")

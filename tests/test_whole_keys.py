@@ -15,3 +15,10 @@ def test_atmosphere_weights(spark):
     got = {r.idx: r.w for r in own.queries()["atmosphere_weights"](spark, SF).collect()}
     assert keys < set(got)
     assert all(w == (101.0 + k % 5 if k in keys else -1.0) for k, w in got.items())
+
+
+def test_coo_apply_fill(spark):
+    keys = {r.l_suppkey for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey").distinct().collect()}
+    got = {r.idx: r.value for r in own.queries()["coo_apply_fill"](spark, SF).collect()}
+    assert keys < set(got) and max(got) > max(keys)
+    assert all(got[k] > 0 for k in keys) and all(got[k] == -1.0 for k in set(got) - keys)
