@@ -211,9 +211,10 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2, bucket_limit: int
     usual = usual.repartition("combo", "head").sortWithinPartitions("combo", "rank").drop("head")
     usual = usual.transform(arrow_map, _search(max_bits), schema(EDGE))
     low = F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", 1)).bitwiseAND(F.lit(0xFFFFFFFF))
-    near = F.array(low, *(low.bitwiseXOR(F.lit(1 << k)) for k in range(32)))
+    # at most two bits apart: a value at most one bit from each; at most one: the same bits but one
+    near = F.array(low, *(low.bitwiseXOR(F.lit(1 << k)) for k in range(32))) if max_bits == 2 else F.array(*(low.bitwiseAND(F.lit(0xFFFFFFFF ^ 1 << k)).bitwiseOR(F.lit(k << 32)) for k in range(32)))
     hot = rows.filter(F.col("n") > bucket_limit).select("combo", "head", "node", F.explode(near).alias("near"))
-    if max_bits == 2:
+    if max_bits:
         least = scratch(hot.groupBy("combo", "head", "near").agg(F.min("node").alias("least"), F.count("*").alias("k")).filter("k > 1"), "hot")
         hot = hot.join(least, ["combo", "head", "near"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
         return usual.union(hot.filter("u <> v"))
