@@ -16,10 +16,15 @@ _RAW = f"""SELECT CAST(k AS BIGINT) AS idx, CASE WHEN (k * 7919) % 11 < 5 THEN 1
   coalesce(p_retailprice, 500) * 0.999983217 + k % 13 AS zicetop, coalesce(p_retailprice, 500) * 0.999983217 - 300 + k % 13 AS zsolg FROM range({_FINE.size}) t(k) LEFT JOIN part ON p_partkey = k"""
 
 
+def _prices(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, p_retailprice)``: the mean price of all parts folded onto the fine grid. The SQL takes part keys below its size as they are, all of them up to 2,000 parts."""
+    return load(spark, sf, "part").groupBy(F.pmod("p_partkey", F.lit(_FINE.size)).alias("id")).agg(F.avg("p_retailprice").alias("p_retailprice"))
+
+
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("id")
     u = F.pmod(k * 7919, F.lit(11))
-    x = spark.range(_FINE.size).join(load(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_retailprice"), "id", "left")
+    x = spark.range(_FINE.size).join(_prices(spark, sf), "id", "left")
     z = F.coalesce("p_retailprice", F.lit(500.0)) * 0.999983217
     return x.select(k.alias("idx"), F.when(u < 5, 1.0).otherwise(0.0).alias("focean"), F.when(u > 8, 1.0).otherwise(0.0).alias("fgice"), (z + F.pmod(k, F.lit(13))).alias("zicetop"), (z - 300 + F.pmod(k, F.lit(13))).alias("zsolg"))
 
@@ -46,7 +51,7 @@ def topoo_fractions(spark: SparkSession, sf: str) -> DataFrame:
   SELECT idx, CAST(thickness >= 25 OR (j - 15.5) * 5.625 > 78 OR idx IN (SELECT idx FROM s) AS DOUBLE) AS fgice FROM f""")
 def global_ice_mask(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("id")
-    x = spark.range(_FINE.size).join(load(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_retailprice"), "id", "left")
+    x = spark.range(_FINE.size).join(_prices(spark, sf), "id", "left")
     fine = x.select(k.alias("idx"), F.lit(0.0).alias("focean"), (F.pmod(k, F.lit(4)) * 10).alias("thickness"), F.coalesce("p_retailprice", F.lit(0.0)).alias("elev"), (F.pmod(k, F.lit(5)) == 0).alias("greenland"))
     snow = spark.range(A16.size).select(k.alias("block"), F.lit(0.3).alias("fraction"))
     return topography.global_ice_mask(fine, snow, _FINE, A16, least_thickness=25.0)

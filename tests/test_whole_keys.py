@@ -5,6 +5,7 @@ import os
 import pytest
 
 from meshwright.plans import queries as own
+from meshwright.plans import queries_products
 
 SF = "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -22,3 +23,12 @@ def test_coo_apply_fill(spark):
     got = {r.idx: r.value for r in own.queries()["coo_apply_fill"](spark, SF).collect()}
     assert keys < set(got) and max(got) > max(keys)
     assert all(got[k] > 0 for k in keys) and all(got[k] == -1.0 for k in set(got) - keys)
+
+
+def test_folded_parts(spark):
+    cells = {}
+    for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_retailprice").collect():
+        cells.setdefault(r.p_partkey % 2048, []).append(r.p_retailprice)
+    got = {r.idx: r.zicetop for r in queries_products._raw(spark, SF).collect()}
+    assert len(got) == 2048
+    assert all(abs(got[k] - sum(v) / len(v) * 0.999983217 - k % 13) < 1e-6 for k, v in cells.items())
