@@ -192,9 +192,36 @@ def test_mix_is_exact(spark):
         assert target[s][0] == pytest.approx(capped.get(s, w[s] * level))
 
 
+def is_random(w):
+    upper, lower, digit = (re.search(p, w) for p in ("[A-Z]", "[a-z]", "[0-9]"))
+    mark = re.search("[^A-Za-z0-9]", w)
+    if not (upper or lower or mark):
+        return False
+    if not mark and not (upper and lower) and not re.search("[g-zG-Z]", w):
+        least = 3.05
+    elif not (digit or mark):
+        least = 4.2
+    else:
+        least = 3.95 if mark or (upper and lower) else 3.75
+    return -sum(w.count(x) / len(w) * np.log2(w.count(x) / len(w)) for x in set(w)) >= least
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Texts that would overflow the stack of a matcher that recurses."""
+    rng = random.Random(1)
+    hexes, base64 = ("".join(rng.choices(a, k=1 << 20)) for a in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    texts = ["ab/" * 350000, "a-b_" * 262144, "=" * (1 << 20), "a-" * 500000 + "a", "token=" + "a." * 500000, "AKIA" + "A1" * 500000, hexes, base64]
+    rows = sorted(secrets_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect())
+    span = lambda r, name: [(x["start"], x["end"]) for x in r[name]]
+    assert [span(r, "entropy") for r in rows[:4]] == [[]] * 4
+    assert span(rows[4], "assign") == [(0, 1000006)] and span(rows[5], "access") == [(0, 1000004)]
+    assert span(rows[6], "hex") == [(0, 1 << 20)] and span(rows[6], "entropy")[0][1] > 1000000
+    assert span(rows[7], "entropy")[0][0] < 100 and len(rows[7]["entropy"]) == 1
+
+
 def test_secrets_are_brute_force_s(spark):
     rng = random.Random(9)
-    bits = ["password", "Token", "=", ": ", '"', "api_key", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "é", " ", "x", "abc", "aPiKey='", "q7Zp2LxV9bN4kR8sT1wY6uHm", "thisisjustalongwordthatgoeson", "0123456789", "\n"]
+    bits = ["password", "Token", "=", ": ", '"', "api_key", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "é", " ", "x", "abc", "aPiKey='", "q7Zp2LxV9bN4kR8sT1wY6uHm", "thisisjustalongwordthatgoeson", "0123456789", "\n", "31415926535897932384626433", "9F86D081884C7D659A2FEAA0C55AD015", "mfrggzdfmztwq2lk7n3x5p", "KRSXG5CTMVRXEZLU2Q4W6A", "getElementsByClassName", "a/b-c_", "--"]
     texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(200)]
     kw = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     rows = secrets_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
@@ -208,12 +235,10 @@ def test_secrets_are_brute_force_s(spark):
         want = []
         for m in re.finditer(secrets_scan.CANDIDATE, t):
             c = m[0]
-            if re.search(secrets_scan.ALLOWED, c):
+            if re.search(secrets_scan.ALLOWED, c) or re.fullmatch("[A-Za-z]+([-_/][A-Za-z]+)+", c):
                 continue
-            least = secrets_scan.HEX_BITS if re.fullmatch("[0-9a-f]+", c) else secrets_scan.OTHER_BITS
             n = secrets_scan.WINDOW
-            h = [-sum(c[o : o + n].count(x) / n * np.log2(c[o : o + n].count(x) / n) for x in set(c[o : o + n])) for o in range(len(c) - n + 1)]
-            good = [o for o, v in enumerate(h) if v >= least]
+            good = [o for o in range(len(c) - n + 1) if is_random(c[o : o + n])]
             if good:
                 want.append((m.start() + good[0], m.start() + good[-1] + n))
         assert span("entropy") == want
