@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, schema, table
+from .common import arrow_map, pieces, schema, scratch, table
 from .tokens import NOT_ALNUM, WordBatch, mix64
 
 MASKS = ("11101011", "11001111")
@@ -152,9 +152,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1 << 20) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``overlaps`` finds nothing in; no shuffle, one pass a block."""
+    """The rows of ``docs``, with all their columns, that ``overlaps`` finds nothing in; no shuffle, one pass a block.
+
+    What a block leaves is written before the next one begins. Null, empty and very
+    long texts, repeated rows, empty tables and other columns are as in ``overlaps``.
+    """
     rows = docs.select(docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    for shared in _blocks(docs, benchmark, item_col, item_text_col, block_words):
+    for k, shared in enumerate(_blocks(docs, benchmark, item_col, item_text_col, block_words)):
+        rows = scratch(rows, "clean") if k else rows
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             _, index = _index(shared)

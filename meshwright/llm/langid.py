@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import arrow_map, pieces, schema, scratch, table
 from .tokens import NOT_ALPHA, WordBatch, mix64
 
-#: The model learns from at most so many rows a language, those with the least hash of their id, and so many bytes of them.
+#: The model learns from at most so many rows a language, those with the least hash of id and text, and so many bytes of them.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 8 << 20
 LONGEST_PIECE, LONGEST_WORD = 12, 48
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -202,9 +202,14 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit on rows with a language outside the held-out quarter, for each language a bounded sample in the order of a hash of the id."""
+    """Fit on rows with a language outside the held-out quarter, for each language a bounded sample in the order of a hash of id and text.
+
+    Rows without text or language teach nothing; equal rows stand together in the
+    order, each counts; a language whose first text is over the bound learns from
+    that text alone. An empty table gives a model without languages.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).filter("text is not null and lang is not null")
-    rows = rows.filter(~held_out(F.col("id"))).select("text", "lang", F.xxhash64("id").alias("order"), F.octet_length("text").alias("bytes"))
+    rows = rows.filter(~held_out(F.col("id"))).select("text", "lang", F.xxhash64("id", "text").alias("order"), F.octet_length("text").alias("bytes"))
     sizes = scratch(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
     # thin each language out by hash first, so that no task ranks more than about four times the sample
     rows = rows.join(sizes, "lang")
@@ -231,7 +236,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``id, lang_pred, score`` of every row.
 
     ``score`` is the probability of the predicted language among the learned ones,
-    all equally likely beforehand. A text that is null or has no letter is ``und``
+    all equally likely beforehand; of languages that tie the first by code point
+    wins. A text of any length is scored whole; an empty table gives an empty one. A text that is null or has no letter is ``und``
     with score 0, and so is every text if no language was learned. Null and
     repeated ids stay as they are. With ``carry`` a struct ``row`` of all columns
     of ``docs`` comes along.

@@ -1,9 +1,9 @@
 """Line deduplication with once-seen and twice-seen Bloom filters.
 
-The first scan fills the filters with the hashes of all long lines. The second
-emits only the lines that test as twice-seen; these are counted exactly, by their
-whole key, and the document that keeps each is chosen. Documents without a
-suspect never shuffle.
+The hashes of all long lines go through a pair of filters for each range of
+hashes (``repeats.suspected``). Lines whose hash enough rows hold are then counted
+exactly, by their whole key, and the document that keeps each is chosen; other
+lines never leave their document.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWEST, arrow_map, key, pieces, scratch, table, unkey
-from .repeats import RepeatFilter, filter_bits, repeat_filter
+from .common import LOWEST, arrow_map, discard, key, pieces, scratch, unkey
+from .repeats import PART_BITS, suspected
 from .tokens import SEPARATORS
 
 
@@ -42,33 +42,26 @@ def _texts(piece: pa.RecordBatch) -> list[bytes]:
 
 
 def _all_hashes(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for piece in pieces(batches, "text"):
-            yield _hashes(k for t in _texts(piece) for k in long_keys(t, min_chars))
+            found = [_hashes(long_keys(t, min_chars)) for t in _texts(piece)]
+            yield np.repeat(np.asarray(piece.column(0)), [len(x) for x in found]), np.concatenate([np.zeros(0, np.uint64), *found])
 
     return run
 
 
-def _suspects(min_chars: int, shared, emit: str):
-    """``keys``: (id, key) of suspected lines; ``with``/``without``: the rows that have one, or have none."""
+def _keys(min_chars: int):
+    """The long keys whose hashes are in the row's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = RepeatFilter(shared.value)
         for piece in pieces(batches, "text"):
             found = [list(long_keys(t, min_chars)) for t in _texts(piece)]
-            sizes = [len(x) for x in found]
-            hit = twice.test(_hashes(k for x in found for k in x))
-            if emit == "keys":
-                flat = [k for x in found for k in x]
-                rows = np.repeat(np.arange(len(found)), sizes)[hit]
-                if len(rows):
-                    yield table("id:long key:string", piece.column(0).take(pa.array(rows)), pa.array([flat[k] for k in np.flatnonzero(hit)], pa.binary()).cast(pa.string()))
-                continue
-            any_hit = np.zeros(len(found), dtype=bool)
-            any_hit[np.repeat(np.arange(len(found)), sizes)[hit]] = True
-            kept = np.flatnonzero(any_hit if emit == "with" else ~any_hit)
-            if len(kept):
-                yield piece.take(pa.array(kept))
+            listed = np.unique(np.asarray(piece.column(3).flatten()))
+            flat = [k for x in found for k in x]
+            hit = np.flatnonzero(np.isin(_hashes(flat).view(np.int64), listed))
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])[hit])
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(rows), piece.column(2).take(rows), pa.array([flat[k] for k in hit], pa.binary()).cast(pa.string())], names=["row", "id", "key"])
 
     return run
 
@@ -90,30 +83,39 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.binary()).cast(pa.string()), piece.column(2), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["id", "text", "row", "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: list[str] | None = None, part_bits: int = PART_BITS) -> DataFrame:
     """Drop repeated long lines: ``id, text, n_lines, n_dropped, row``, the last a struct of the columns in ``carry``.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased.
     A key of at least ``min_chars`` code points that ``min_docs`` documents hold
     stays only in the largest id among them. Null and empty texts are one empty
-    line. Rows of one id are one document: they count once, and all keep the lines
-    that this id keeps. A null id is one document, below every id. Other columns
-    take no part, whatever their names.
+    line; an empty table gives an empty one; a text of any length is worked on
+    whole. Rows of one id are one document: they count once, and all keep the lines
+    that this id keeps. Null ids together are one document, below every id. Ties
+    can't occur, as the largest id is one document. Other columns take no part,
+    whatever their names.
     """
     carried = F.struct(*(docs[c].alias(c) for c in carry)) if carry else F.lit(None).cast("struct<none:int>")
     rows = docs.select(key(docs[id_col], LOWEST).alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), carried.alias("row"))
-    thin = rows.select("id", "text")
-    chars = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    data = repeat_filter(thin, _all_hashes(min_chars), filter_bits(chars // max(min_chars, 1) // 2))
-    shared = docs.sparkSession.sparkContext.broadcast(data)
-    suspects = scratch(thin.transform(arrow_map, _suspects(min_chars, shared, "keys"), "id long, key string"), "suspects")
-    once = suspects.distinct()
-    repeated = scratch(once.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("key", "keeper"), "repeated")
-    drops = once.join(repeated, "key").filter("id <> keeper").groupBy("id").agg(F.collect_list("key").alias("drops"))
-    drops = scratch(drops, "drops")
-    suspected = rows.transform(arrow_map, _suspects(min_chars, shared, "with"), rows.schema).join(drops, "id", "left")
-    clean = rows.transform(arrow_map, _suspects(min_chars, shared, "without"), rows.schema).withColumn("drops", F.lit(None).cast("array<string>"))
-    out = clean.unionByName(suspected).select("id", "text", "row", "drops").transform(arrow_map, _apply, T.StructType(rows.schema.fields).add("n_lines", "long").add("n_dropped", "long"))
+    rows = rows.withColumn("own", F.xxhash64("id", "text"))  # rows that share it only share a list of suspects
+    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = suspected(rows.select("own", "text"), _all_hashes(min_chars), chars // max(min_chars, 1), part_bits)
+    # a key that enough documents hold has a hash that enough rows hold
+    likely = scratch(found.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("hash"), "likely")
+    lists = scratch(found.join(likely, "hash").groupBy("key").agg(F.collect_list("hash").alias("hashes")), "lists")
+    discard(found, likely)
+    held = scratch(rows.join(lists, F.col("own") == F.col("key"), "left").select("id", "text", "row", "own", "hashes"), "lines")
+    discard(lists)
+    some = held.filter("hashes is not null")
+    once = scratch(some.select("own", "text", "id", "hashes").transform(arrow_map, _keys(min_chars), "row long, id long, key string"), "keys")
+    repeated = once.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("key", "keeper")
+    repeated = scratch(repeated, "repeated")
+    drops = once.join(repeated, "key").filter("id <> keeper").select("row", "id", "key").distinct()
+    drops = scratch(drops.groupBy(F.col("row").alias("own"), "id").agg(F.collect_list("key").alias("drops")), "drops")
+    discard(once, repeated)
+    plain = held.filter("hashes is null").withColumn("drops", F.lit(None).cast("array<string>"))
+    out = plain.unionByName(some.join(drops, ["own", "id"], "left")).select("id", "text", "row", "drops")
+    out = out.transform(arrow_map, _apply, T.StructType(out.schema.fields[:3]).add("n_lines", "long").add("n_dropped", "long"))
     return out.withColumn("id", unkey(F.col("id"), LOWEST))
 
 

@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
 A document's key is the MD5 of its id, so its rank within its source is random
-but the same in every run. Because keys are uniform, equal key ranges are known
-beforehand: the first three hex digits sort a source into 4,096 ranges. Summing
-words by range and adding the sums up gives each range's place in the order; only
-the one range of each source in which the budget ends is sorted row by row.
+but the same in every run. Places (source, key and what breaks ties) are sorted
+over range partitions; the sums of partitions, added up, give each partition's
+place in the order, and only the one partition of each source in which the budget
+ends adds up its rows. That yields the place at which every source is cut, with
+which each row then settles by itself what the mix takes of it. Texts are never
+sorted or shuffled.
 """
 
 from __future__ import annotations
@@ -12,14 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import discard, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed values of the mix: weights of the sources in order, repeating, and the share of all words that they get.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-RANGE_DIGITS = 3
 
 
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -49,6 +50,15 @@ def source_targets(sums: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.try_divide(F.col("w") * free, heavy)).alias("target"))
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """``(source, place, size)`` sorted by source and place over range partitions, with the number ``part`` of each."""
+    order = ("source", "place")
+    rows = scratch(rows, "places")  # finding the ranges reads them once more
+    out = scratch(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    discard(rows)
+    return out
+
+
 def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``rows``, which have a ``size``, with ``source_size``, ``target`` and ``taken``.
 
@@ -56,30 +66,42 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source") ->
     source as often as they fit into the target, and one more time if it stands
     before the point where the rest of the budget ends; the row at that point
     gives the part that is missing. Null sources are one source, the last; a null
-    id has the key of the empty string; rows that tie on key are ordered by id and
-    size. A source without words takes none. Columns called ``source_size``,
-    ``target`` or ``taken`` are replaced.
+    id has the key of the empty string; rows that tie on key are ordered by id, size
+    and a hash of all their columns, and rows that are equal in every column stand
+    in any order. A source without words takes none; an empty table gives an empty
+    one. Columns called ``source_size``, ``target`` or ``taken`` are replaced, other
+    columns pass through. ``rows`` is read twice.
     """
     rows = rows.drop("source_size", "target", "taken")
     keep = rows.columns
     hashed = F.md5(F.coalesce(rows[id_col].cast("string"), F.lit("")).cast("binary"))
-    binned = rows.select(F.struct(*(rows[c] for c in keep)).alias("row"), rows[source_col].alias("source"), rows[id_col].alias("id"), rows["size"].alias("size"), hashed.alias("key"), F.conv(F.substring(hashed, 1, RANGE_DIGITS), 16, 10).cast("int").alias("bin"))
-    bins = scratch(binned.groupBy("source", "bin").agg(F.sum("size").alias("n")), "ranges")
-    targets = source_targets(bins.groupBy("source").agg(F.sum("n").alias("source_size")))
+    # a place takes few bytes; the rows themselves are never sorted
+    place = F.struct(hashed.alias("key"), rows[id_col].alias("id"), rows["size"].alias("size"), F.xxhash64(*(rows[c] for c in keep)).alias("tie"))
+    placed = rows.select(F.struct(*(rows[c] for c in keep)).alias("row"), rows[source_col].alias("source"), place.alias("place"), rows["size"].alias("size"))
+    ordered = _ordered(placed.select("source", "place", "size"))
+    sums = scratch(ordered.groupBy("source", "part").agg(F.sum("size").alias("n")), "sums")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
     budget = F.floor("target").cast("long")
     targets = targets.withColumn("epochs", F.coalesce(F.try_divide(budget, F.col("source_size")).cast("long"), F.lit(0)))
-    targets = targets.withColumn("left", budget - F.col("epochs") * F.col("source_size"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = bins.withColumn("ahead", ahead).withColumnRenamed("source", "s")
-    cut = placed.join(targets, F.col("s").eqNullSafe(F.col("source"))).groupBy("source", "source_size", "target", "epochs", "left")
-    inside = (F.col("ahead") <= F.col("left")) & (F.col("left") < F.col("ahead") + F.col("n"))
-    plan = cut.agg(F.max(F.when(inside, F.col("bin"))).alias("cut"), F.max(F.when(inside, F.col("left") - F.col("ahead"))).alias("part"))
-    plan = scratch(plan.withColumnRenamed("source", "s"), "plan")
-    planned = binned.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    whole = F.when(F.col("cut").isNull() | (F.col("bin") > F.col("cut")), F.lit(0)).otherwise(F.col("size"))
-    plain = planned.filter(F.col("cut").isNull() | (F.col("bin") != F.col("cut"))).withColumn("once", whole)
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    edge = planned.filter(F.col("bin") == F.col("cut")).withColumn("once", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - upto + F.col("size"))))
+    targets = scratch(targets.withColumn("left", budget - F.col("epochs") * F.col("source_size")), "targets")
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the part of each source in which the rest of its budget ends, and how much of it is left there
+    cut = sums.withColumn("ahead", ahead).withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source")))
+    cut = cut.filter((F.col("ahead") <= F.col("left")) & (F.col("left") < F.col("ahead") + F.col("n"))).select("s", F.col("part").alias("p"), (F.col("left") - F.col("ahead")).alias("rest"))
+    inside = ordered.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    upto = F.sum("size").over(Window.partitionBy("source", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    ends = inside.withColumn("upto", upto).filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("size") <= F.col("rest")))
+    # of rows with one place, all before the end are taken whole
+    before = inside.join(ends.select(F.col("source").alias("es"), F.col("place").alias("end")), F.col("source").eqNullSafe(F.col("es")) & (F.col("place") < F.col("end"))).groupBy(F.col("source").alias("bs")).agg(F.sum("size").alias("before"))
+    ends = ends.select(F.col("source").alias("es"), F.col("place").alias("end"), "rest").join(before, F.col("es").eqNullSafe(F.col("bs")), "left")
+    ends = ends.select("es", "end", (F.col("rest") - F.coalesce("before", F.lit(0))).alias("part"))
+    plan = scratch(targets.join(ends, F.col("source").eqNullSafe(F.col("es")), "left").withColumnRenamed("source", "s"), "plan")
+    discard(sums, targets, ordered)
+    planned = placed.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    at_end = F.coalesce(F.col("place") == F.col("end"), F.lit(False))
+    plain = planned.filter(~at_end).withColumn("once", F.when(F.col("place") < F.col("end"), F.col("size")).otherwise(F.lit(0)))
+    upto = F.sum("size").over(Window.partitionBy("source", "place").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    edge = planned.filter(at_end).withColumn("once", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - upto + F.col("size"))))
     out = plain.unionByName(edge)
     return out.select("row.*", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("once")).alias("taken"))
 

@@ -91,6 +91,8 @@ def demux(data: bytes) -> dict[int, Stream]:
     """The logical streams of a physical stream, by serial number; OggError if anything is wrong with them."""
     streams: dict[int, Stream] = {}
     at = 0
+    if not data:
+        raise OggError("no page")
     while at < len(data):
         if len(data) - at < HEADER.size:
             raise OggError("the stream ends inside a page header")
@@ -183,7 +185,9 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``id, n_bytes, media``: each text's bytes, padded to a positive multiple of 64, as an Ogg stream in the shared folder.
 
     Null and empty texts are 64 zero bytes. Ids may be null or repeat: every row
-    has its own media. Other columns are ignored. Equal texts have equal media.
+    has its own media; an empty table gives an empty one; a text of any length is
+    stored whole. Other columns are ignored, whatever their names. Equal texts have
+    equal media.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,17 +202,29 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """What the stored media hold, read back: sizes, hashes and features of each row of ``to_media``."""
-    names = [x.split()[0] for x in DIGEST.split(", ")]
+def digest(media: DataFrame, strict: bool = True) -> DataFrame:
+    """What the stored media hold, read back: sizes, hashes and features of each row of ``to_media``.
+
+    A damaged stream raises OggError; with ``strict=False`` its row has an ``error``
+    instead of what can't be told, a column that is null for whole streams. A null
+    stream is an empty one, which is damaged. No rows give an empty table.
+    """
+    names = [x.split()[0] for x in DIGEST.split(", ")] + ([] if strict else ["error"])
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())[: len(names) - 2]
+
+    def told(data: bytes) -> tuple:
+        size = (len(data), hashlib.sha256(data).hexdigest())
+        try:
+            m = read(data)
+        except OggError as e:
+            if strict:
+                raise
+            return None, None, None, *size, None, str(e)
+        return (len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-BLOCK:]), *size, feature(m), None)[: len(kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "media"):
-            out = []
-            for data in piece.column(2).to_pylist():
-                m = read(data)
-                out.append((len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(m)))
-            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *cols], names=names)
-
-    return media.transform(arrow_map, run, DIGEST)
+            out = [told(data or b"") for data in piece.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=names)
+
+    return media.transform(arrow_map, run, DIGEST if strict else f"{DIGEST}, error string")

@@ -227,7 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and link like any other. A null id
     stays null and counts above every id, so it names a class only if the class
-    has no other id. Repeated rows come back once each; other columns are ignored.
+    has no other id. Repeated rows come back once each; an empty table gives an
+    empty one; a text of any length counts whole; ids that tie for the least of a
+    class are one id. Other columns are ignored, whatever their names.
     """
     fps = scratch(fingerprints(docs.select(key(docs[id_col], HIGHEST).alias("id"), docs[text_col].alias("text")), words, seed), "fp")
     ids = fps.groupBy("fp").agg(F.min("id").alias("id"))

@@ -14,16 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, pieces, scratch, table
 from .tokens import NOT_ALNUM, WordBatch, mix64
 
 BITS = 20
-#: The classifier learns from at most so many labelled rows, those with the least hash of their id.
-SAMPLE_ROWS = 8000
-#: and at most so many bytes of their texts.
+#: The classifier learns from at most so many labelled ids, those with the least hash, and at least LABEL_ROWS of each label if there are so many,
+SAMPLE_ROWS, LABEL_ROWS = 8000, 200
+#: and at most so many bytes of their texts: each label has its share of them, and its first text always counts.
 SAMPLE_BYTES = 48 << 20
 SCORE = "id:long score:double"
 
@@ -94,18 +94,47 @@ def _text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit on the labelled documents outside the held-out fifth, ``sample_rows`` of them and ``sample_bytes`` of text at most.
+def fitting(rows: list[tuple[int, int, int]], sample_bytes: int) -> list[tuple[int, int]]:
+    """(id, label, bytes) in order to the (id, label) whose texts fit: each label has its share of the bytes, and its smallest text fits."""
+    out = []
+    total = sum(n for *_, n in rows)
+    for label in (0, 1):
+        own = [(i, n) for i, y, n in rows if y == label]
+        left = sample_bytes * sum(n for _, n in own) // total if total > sample_bytes else total
+        taken = []
+        for i, n in own:
+            if n <= left:
+                taken.append((i, label))
+                left -= n
+        out += taken or [(min(own, key=lambda x: x[1])[0], label)] if own else []
+    return out
+
+
+def spark_rows(spark: SparkSession, rows: list[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "y": pa.array([y for _, y in rows], pa.int32())}))
+
 
-    Labels other than 0 and 1 are ignored; of several for one id the largest
-    counts. The sample's ids are broadcast, 8 bytes each; its features come to the
-    driver.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a bounded sample of the labelled documents outside the held-out fifth.
+
+    ``sample_rows`` ids are drawn by a hash, LABEL_ROWS of each label at least; each
+    label takes texts in that order up to its share of ``sample_bytes``, skipping
+    those that are larger than what is left, and its smallest text in any case, so
+    no length of text leaves a label out. Labels other than 0 and 1 are ignored; of
+    several for one id the largest counts. No labels, an empty table or labels of one
+    kind give a model of the prior. The sample's ids are broadcast, 8 bytes each; its
+    features come to the driver.
     """
     marks = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).filter("y in (0, 1) and id is not null").filter(~held_out(F.col("id")))
-    marks = marks.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    sizes = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).alias("bytes")).join(F.broadcast(marks), "id")
-    upto = F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id", "bytes").rowsBetween(Window.unboundedPreceding, 0))  # over the sample only
-    marks = scratch(sizes.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select("id", "y").distinct(), "marks")
+    marks = scratch(marks.groupBy("id").agg(F.max("y").alias("y")), "labels")
+    drawn = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
+    some = drawn(marks, sample_rows)
+    for y in (0, 1):
+        some = some.union(drawn(marks.filter(F.col("y") == y), min(LABEL_ROWS, sample_rows)))
+    some = scratch(some.distinct(), "drawn")
+    sizes = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).alias("bytes")).join(F.broadcast(some), "id")
+    sizes = sizes.groupBy("id", "y").agg(F.sum("bytes").alias("bytes"))
+    marks = spark_rows(docs.sparkSession, fitting([(r["id"], r["y"], r["bytes"]) for r in sizes.orderBy(F.xxhash64("id"), "id").collect()], sample_bytes))
     rows = _text(docs, id_col, text_col).join(F.broadcast(marks), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +148,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score`` of every row; a null text is empty and scores the prior, null and repeated ids stay as they are."""
+    """``id, score`` of every row, 0 to 1, the same for equal texts.
+
+    A null or empty text has no feature and scores the prior; a text of any length
+    is scored whole; null and repeated ids stay as they are; an empty table gives an
+    empty one. Other columns are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,7 +162,11 @@ def read_archives(archives: DataFrame, column: str = "data", strict: bool = True
 
 
 def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The records of ``.warc`` archives compressed by record, wherever Spark can read files."""
+    """The records of ``.warc.gz`` archives compressed by record, wherever Spark can read files.
+
+    An archive is read as one value, which Spark holds up to 2 GB; archives of the
+    usual 1 GB need executors with the memory for it.
+    """
     return read_archives(spark.read.format("binaryFile").load(path), "content", strict)
 
 
@@ -170,18 +174,20 @@ def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record a page into archives, a revisit where a page of larger id has an equal payload.
 
-    A null html is an empty payload; empty payloads are equal to each other. A
+    Payloads are equal if their SHA-256 is; the digest in the record is SHA-1, as the
+    format has it. A null html is an empty payload; empty payloads are equal to each
+    other; a page of any length is one record. A
     null id counts below every id and reads back as null; rows that tie on the
     largest id of a payload are all responses. An empty table gives no archive.
     Other columns are ignored. Returns the archives, stored in the shared folder.
     """
     html = F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(key(pages[id_col], LOWEST).alias("id"), pages[url_col].cast("string").alias("uri"), html.alias("payload"), F.sha1(html).alias("sha"))
-    digests = scratch(rows.select("id", "sha").distinct(), "digests")
-    repeated = scratch(digests.groupBy("sha").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("sha", "response"), "payloads")
-    revisits = scratch(digests.join(repeated, "sha").filter("id <> response"), "revisits")
+    rows = pages.select(key(pages[id_col], LOWEST).alias("id"), pages[url_col].cast("string").alias("uri"), html.alias("payload"), F.sha1(html).alias("sha"), F.unhex(F.sha2(html, 256)).alias("same"))
+    digests = scratch(rows.select("id", "same").distinct(), "digests")
+    repeated = scratch(digests.groupBy("same").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("same", "response"), "payloads")
+    revisits = scratch(digests.join(repeated, "same").filter("id <> response"), "revisits")
     name = lambda c: F.when(c == LOWEST, F.lit("none")).otherwise(c.cast("string"))
-    records = rows.join(revisits, ["id", "sha"], "left").select(name(F.col("id")).alias("record_id"), "uri", "payload", F.col("sha").alias("payload_digest"), F.when(F.col("response").isNotNull(), name(F.col("response"))).alias("refers_to"))
+    records = rows.join(revisits, ["id", "same"], "left").select(name(F.col("id")).alias("record_id"), "uri", "payload", F.col("sha").alias("payload_digest"), F.when(F.col("response").isNotNull(), name(F.col("response"))).alias("refers_to"))
     return scratch(write_archives(records), "warc")
 
 
