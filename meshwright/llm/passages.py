@@ -244,12 +244,14 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(work, lists)
     some = held.filter("anchors is not null")
     stretches = scratch(some.select("row", "id", "text", "anchors").transform(arrow_map, _stretches(window), STRETCH), "stretches")
-    distinct = stretches.groupBy("anchor", "words").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    distinct = scratch(stretches.groupBy("anchor", "words").agg(F.min("id").alias("low"), F.max("id").alias("high")), "distinct")
     passages = distinct.transform(arrow_map, _windows(window), "anchor long, words string, low long, high long")
     passages = passages.groupBy("anchor", "words").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
     passages = scratch(passages.select("anchor", F.col("words").alias("passage"), "least"), "passages")
+    discard(distinct)
     size = passages.agg(F.sum(F.length("passage"))).first()[0] or 0
-    shard = F.pmod("anchor", F.lit(max(1, -(-size // shard_chars)))).alias("group")
+    # shards are half full on average, so few must be dealt to several automata, which all their stretches would meet
+    shard = F.pmod("anchor", F.lit(max(1, -(-2 * size // shard_chars)))).alias("group")
     met, plan = routed(passages.select(shard, "passage", "least"), stretches.select(shard, "row", "id", "place", "words"), F.length("passage"), shard_chars, F.lit(1), SHARD_ROWS)
     hits = scratch(met.transform(arrow_map, _locate(window, phrase_type), schema(HIT)), "hits")
     discard(stretches, passages, plan)
