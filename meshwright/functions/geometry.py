@@ -107,6 +107,36 @@ def clip_lonlat(west: float, south: float, east: float, north: float):
     return keep
 
 
+def clip_polygon(points: list[tuple[float, float]]):
+    """Cells whose box shares area, or a point, with a polygon ``(lon, lat)`` of three vertices or more, on the plane of longitude and latitude."""
+    if len(points) < 3:
+        raise ValueError("a polygon needs three vertices")
+    turned = points[1:] + points[:1]
+    edges = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("ax", "ay", "bx", "by"), (*a, *b), strict=True))) for a, b in zip(points, turned, strict=True)))
+
+    def inside(x: Column, y: Column) -> Column:
+        """Whether a ray to the east crosses an odd number of edges."""
+        across = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < e["ax"] + (y - e["ay"]) * F.try_divide(e["bx"] - e["ax"], e["by"] - e["ay"]))
+        return F.size(F.filter(edges, across)) % 2 == 1
+
+    def keep(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
+        def touches(e: Column) -> Column:
+            """Whether an edge has a part in the box: the ends of its stay in x and in y overlap."""
+            dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+
+            def stay(at: Column, d: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+                a, b = F.try_divide(lo - at, d), F.try_divide(hi - at, d)
+                out = (at < lo) | (at > hi)
+                return F.when(d == 0, F.when(out, 2.0).otherwise(0.0)).otherwise(F.least(a, b)), F.when(d == 0, F.when(out, -1.0).otherwise(1.0)).otherwise(F.greatest(a, b))
+
+            (x0, x1), (y0, y1) = stay(e["ax"], dx, lon0, lon1), stay(e["ay"], dy, lat0, lat1)
+            return F.greatest(x0, y0, F.lit(0.0)) <= F.least(x1, y1, F.lit(1.0))
+
+        return F.exists(edges, touches) | inside(lon0, lat0)
+
+    return keep
+
+
 def keep_all(*_: Column) -> Column:
     return F.lit(True)
 

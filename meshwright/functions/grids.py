@@ -151,7 +151,59 @@ def searise(dx_km: float = 20.0) -> XYSpec:
     return XYSpec.between(-810e3, 710e3, dx_km * 1e3, -3410e3, -590e3, dx_km * 1e3, GREENLAND_PROJ)
 
 
-PRESETS = {"searise20": lambda: searise(20.0), "searise5": lambda: searise(5.0), "greenland_atmosphere": lambda: lonlat_from_hntr(NAMED["g2hx2"], pole_caps=True)}
+# Bounds in metres and projections of two further published Greenland grids.
+PISM_PROJ = "+proj=stere +lat_0=90 +lat_ts=70 +lon_0=-45 +k=1 +x_0=0 +y_0=0 +datum=WGS84 +units=m +no_defs"
+PISM_BOUNDS = (-678650.0, 905350.0, -3371600.0, -635600.0)
+MAR_PROJ = "+proj=stere +lon_0=-40.0 +lat_0=70.5 +lat_ts=0.0 +k=1.0 +a=6371229 +b=6371129 +no_defs"
+MAR_CENTERS = (-775e3, 700e3, -1200e3, 1525e3)
+
+
+def pism_greenland(dx: float = 18000.0) -> XYSpec:
+    """The Greenland grid of a PISM spin-up, in metres."""
+    x0, x1, y0, y1 = PISM_BOUNDS
+    return XYSpec.between(x0, x1, dx, y0, y1, dx, PISM_PROJ)
+
+
+def mar_greenland(dx_km: float = 25.0) -> XYSpec:
+    """The Greenland grid of the MAR model, whose outermost centers are stated, in metres."""
+    x0, x1, y0, y1 = MAR_CENTERS
+    return XYSpec.centered(x0, x1, dx_km * 1e3, y0, y1, dx_km * 1e3, MAR_PROJ)
+
+
+PRESETS = {
+    "searise20": lambda: searise(20.0),
+    "searise5": lambda: searise(5.0),
+    "pism_greenland": pism_greenland,
+    "mar_greenland": mar_greenland,
+    "greenland_atmosphere": lambda: lonlat_from_hntr(NAMED["g2hx2"], pole_caps=True),
+}
+
+
+def matching_hntr(spec: LonLatSpec, hntr: HntrSpec) -> HntrSpec:
+    """The regular grid that a boundary grid was made from; raises if its boundaries or caps don't agree with it."""
+    for caps in (False, True):
+        own = lonlat_from_hntr(hntr, caps)
+        if (spec.south_pole, spec.north_pole) == (caps, caps):
+            if all(len(a) == len(b) and all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True)) for a, b in ((own.lonb, spec.lonb), (own.latb, spec.latb))):
+                return hntr
+    raise ValueError("the grid is not the regular one that it is said to be")
+
+
+def split_shape(shape: tuple[int, ...], n: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """A shape cut in two so that the last dimensions multiply to ``n``."""
+    for k in range(len(shape) + 1):
+        if math.prod(shape[k:]) == n:
+            return shape[:k], shape[k:]
+    raise ValueError(f"no last dimensions of {shape} multiply to {n}")
+
+
+def parse_spec(spec: str) -> tuple[str, str]:
+    """The grids of a matrix name ``BvA``, (B, A); ``BuA`` names an unscaled one."""
+    for mark in "vu":
+        b, sep, a = spec.partition(mark)
+        if sep and b and a:
+            return b, a
+    raise ValueError(f"{spec!r} names no matrix")
 
 
 @dataclass(frozen=True)
@@ -208,6 +260,20 @@ def elevation_indexing(a: Indexing, nhc: int) -> Indexing:
     return Indexing(("A", "HC"), (0, 0), (a.size, nhc), (1, 0))
 
 
+def div_down(a, b: int):
+    """Integer division rounded towards minus infinity, of a column or a number."""
+    if isinstance(a, int):
+        return a // b
+    from pyspark.sql import functions as F
+
+    return ((a - F.pmod(a, F.lit(b))) / b).cast("long")
+
+
+def div_up(a, b: int):
+    """Integer division rounded towards plus infinity."""
+    return -div_down(-a, b)
+
+
 @dataclass(frozen=True)
 class RegridParams:
     scale: bool = True

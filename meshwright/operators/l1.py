@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from . import coo
 
 
 def basis_matrix(pieces: DataFrame, elements: DataFrame) -> DataFrame:
@@ -22,3 +23,10 @@ def basis_matrix(pieces: DataFrame, elements: DataFrame) -> DataFrame:
     a, b, c = geometry.plane_through([v["x"] for v in p], [v["y"] for v in p], [F.lit(1.0), F.lit(0.0), F.lit(0.0)])
     x = x.select(F.col("a_id").alias("row"), F.col("v.vid").alias("col"), geometry.plane_integral(F.col("ring"), a, b, c).alias("val"))
     return x.groupBy("row", "col").agg(F.sum("val").alias("val"))
+
+
+def weighted_basis(pieces: DataFrame, elements: DataFrame, scale: bool = False) -> coo.WeightedMatrix:
+    """``basis_matrix`` with its weights: the area of each A cell, and of what each vertex stands for."""
+    m = basis_matrix(pieces, elements)
+    wm, mw = coo.sums(m, "row"), coo.sums(m, "col")
+    return coo.WeightedMatrix(coo.scale(m, wm, "row", invert=True) if scale else m, wm, mw, True, scale)

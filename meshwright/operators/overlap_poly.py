@@ -1,4 +1,4 @@
-"""Exchange grids of polygon grids: tile-bucket equi-join, box filter, convex clipping."""
+"""Exchange grids of polygon grids: tile-bucket equi-join, box filter, clipping."""
 
 from __future__ import annotations
 
@@ -43,14 +43,44 @@ def area(ring: list[Point]) -> float:
     return sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
 
 
+def triangles(ring: list[Point]) -> list[list[Point]]:
+    """A simple counter-clockwise polygon cut into triangles, one ear after another."""
+    left, out = list(ring), []
+    while len(left) > 3:
+        for k in range(len(left)):
+            ear = [left[k - 1], left[k], left[(k + 1) % len(left)]]
+            if area(ear) <= 0:
+                continue
+            others = (q for q in left if q not in ear)
+            if not any(all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 for (ax, ay), (bx, by) in zip(ear, ear[1:] + ear[:1], strict=True)) for x, y in others):
+                out.append(ear)
+                break
+        else:
+            k = min(range(len(left)), key=lambda k: abs(area([left[k - 1], left[k], left[(k + 1) % len(left)]])))  # no ear but flat corners
+        del left[k]
+    return [*out, left]
+
+
+def shared(subject: list[Point], window: list[Point], convex: tuple[bool, bool]) -> tuple[float, list[Point] | None]:
+    """The area that two counter-clockwise polygons share, and its ring where one of them is convex.
+
+    Where a concave polygon is cut into several pieces, the ring joins them by edges
+    without area.
+    """
+    if not any(convex):
+        return sum(max(0.0, area(clip(subject, t))) for t in triangles(window)), None
+    piece = clip(subject, window) if convex[1] else clip(window, subject)
+    return (area(piece) if len(piece) > 2 else 0.0), piece
+
+
 def exchange_grid(a: DataFrame, i: DataFrame, tile: float | None = None, tiny: float = 1e-12, rings: bool = False) -> DataFrame:
     """``(a_id, i_id, area[, ring])``: the shared polygons of two grids ``(cell_id, ring)`` on one plane.
 
     Each cell goes to all tiles that its box touches, the join is on tiles, and a
     pair is taken only in the tile that holds the corner where both boxes begin, so
     none comes twice. ``tile`` is the tiles' size, by default the largest extent of
-    a cell of the finer grid times four. Cells of both grids must be convex; others
-    raise. Overlaps up to ``tiny`` times the smaller cell are dropped.
+    a cell of the finer grid times four. Cells may be concave; with ``rings`` a pair of
+    two concave cells raises. Overlaps up to ``tiny`` times the smaller cell are dropped.
     """
     reachable(a.sparkSession)
     a = a.select(F.col("cell_id").alias("a_id"), F.col("ring").alias("ra"), geometry.box(F.col("ring")).alias("ba"))
@@ -65,28 +95,27 @@ def exchange_grid(a: DataFrame, i: DataFrame, tile: float | None = None, tiny: f
     pairs = pairs.filter((x0 < F.least("ba.x1", "bi.x1")) & (y0 < F.least("ba.y1", "bi.y1")) & (F.col("tx") == t(x0)) & (F.col("ty") == t(y0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple[str, int], tuple[list[Point], float]] = {}
+        known: dict[tuple[str, int], tuple[list[Point], float, bool]] = {}
 
-        def ring_of(kind: str, key: int, ring) -> tuple[list[Point], float]:
+        def ring_of(kind: str, key: int, ring) -> tuple[list[Point], float, bool]:
             got = known.get((kind, key))
             if got is None:
                 pts = [(v["x"], v["y"]) for v in ring]
                 size = area(pts)
                 if size < 0:
                     pts, size = pts[::-1], -size
-                if not is_convex(pts):
-                    raise ValueError(f"cell {key} is not convex")
                 if len(known) > 10000:
                     known.clear()
-                got = known[kind, key] = pts, size
+                got = known[kind, key] = pts, size, is_convex(pts)
             return got
 
         for pdf in batches:
             out = []
             for a_id, ra, i_id, ri in pdf[["a_id", "ra", "i_id", "ri"]].itertuples(index=False):
-                (pa_, sa), (pi, si) = ring_of("a", a_id, ra), ring_of("i", i_id, ri)
-                piece = clip(pi, pa_)
-                size = area(piece) if len(piece) > 2 else 0.0
+                (pa_, sa, ca), (pi, si, ci) = ring_of("a", a_id, ra), ring_of("i", i_id, ri)
+                size, piece = shared(pi, pa_, (ci, ca))
+                if rings and piece is None:
+                    raise ValueError(f"cells {a_id} and {i_id} are both concave and have no one ring")
                 if size > tiny * min(sa, si):
                     out.append((a_id, i_id, size, [{"vid": None, "x": x, "y": y} for x, y in piece] if rings else None))
             yield pd.DataFrame(out, columns=["a_id", "i_id", "area", "ring"])

@@ -181,6 +181,49 @@ def merge_sheets(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     return x.withColumn("mergemask", merged.cast("int")).drop(*names, "dice", "fgice_0", "turned")
 
 
+def sheet_deltas(exchange: DataFrame, areas: DataFrame, ice: DataFrame, land: DataFrame) -> DataFrame:
+    """What one ice sheet adds to the cells of the ocean grid, as ``merge_sheets`` takes it.
+
+    ``exchange (a_id, i_id, area)``, ``areas (a_id, native_area, proj_area)``, ``ice`` and
+    ``land (i_id, elev)`` without the masked cells. Returns ``(idx, da_cont, da_ice,
+    da_zatmo, da_zicetop, zland_min, zland_max)``: areas in native units, and mean
+    elevations times the cell's whole native area.
+    """
+    x = exchange.filter("area > 0")
+
+    def part(mask: DataFrame, name: str) -> DataFrame:
+        on = x.join(mask.select("i_id", "elev"), "i_id").groupBy("a_id").agg(F.sum("area").alias("s"), F.sum(F.col("area") * F.col("elev")).alias("z"), F.min("elev").alias("lo"), F.max("elev").alias("hi"))
+        on = on.join(areas, "a_id")
+        return on.select(F.col("a_id").alias("idx"), (F.col("s") * F.try_divide("native_area", "proj_area")).alias(f"{name}_area"), (F.try_divide("z", "s") * F.col("native_area")).alias(f"{name}_z"), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+
+    both = part(land, "land").join(part(ice, "ice"), "idx", "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return both.select("idx", zero("land_area").alias("da_cont"), zero("ice_area").alias("da_ice"), zero("land_z").alias("da_zatmo"), zero("ice_z").alias("da_zicetop"), F.col("land_lo").alias("zland_min"), F.col("land_hi").alias("zland_max"))
+
+
+def fill_shares(cells: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Like ``budget_fill`` with ``share``, the part of each cell's area that the budget reaches, and ``filled``, that part rounded.
+
+    Cells tie by their exact elevation, then j, i.
+    """
+    order = Window.partitionBy("block").orderBy(F.col("elev").desc(), "j", "i")
+    upto = F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = cells.withColumn("upto", upto).join(budgets, "block", "left").withColumn("budget", F.coalesce("budget", F.lit(0.0)))
+    rest = F.col("budget") - F.col("upto") + F.col("area")
+    share = F.coalesce(F.least(F.greatest(F.try_divide(rest, F.col("area")), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return rows.withColumn("share", share).withColumn("filled", F.col("share") >= 0.5).drop("upto", "budget")
+
+
+def sent_classes(classes: DataFrame) -> DataFrame:
+    """The classes that lie over ice, local or global; only these get values from a climate model."""
+    return classes.filter(F.col("underice").isin(UI_LOCALICE, UI_GLOBALICE))
+
+
+def base_weights(weights: DataFrame, offset: int) -> DataFrame:
+    """``(idx, w)`` of the classes that were stacked behind ``offset`` local ones' keys."""
+    return weights.filter(F.col("idx") >= offset)
+
+
 # -- checks ---------------------------------------------------------------------------------------------------------
 def bad_land_fractions(cells: DataFrame, tolerance: float = 1e-13) -> DataFrame:
     """Rows whose ``focean + flake + fgrnd + fgice`` is not 1."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_grid, queries_matrix, queries_products, queries_regridder, queries_topo  # noqa: F401
+from . import queries_grid, queries_matrix, queries_more, queries_products, queries_regridder, queries_topo  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

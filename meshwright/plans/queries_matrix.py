@@ -53,9 +53,9 @@ def coo_scale_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(coo.scale(_m(spark, sf), w, "row", invert=True), "val", digits=9)
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS idx, round(coalesce(v, -1), 4) AS value FROM range(150) t(i) LEFT JOIN (SELECT row, sum(val * p_retailprice) AS v FROM ({M}) JOIN part ON p_partkey = col WHERE p_size % 2 = 0 GROUP BY row) ON row = i")
+@query(f"SELECT CAST(i AS BIGINT) AS idx, round(coalesce(v, -1), 4) AS value FROM (SELECT unnest(range(greatest(150, 51 + (SELECT max(l_suppkey) FROM lineitem)))) AS i) LEFT JOIN (SELECT row, sum(val * p_retailprice) AS v FROM ({M}) JOIN part ON p_partkey = col WHERE p_size % 2 = 0 GROUP BY row) ON row = i")
 def coo_apply_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows of the product, and the fill for some ids beyond them. The SQL lists the ids below 150, all of them up to 100 suppliers."""
+    """All rows of the product, and the fill for some ids beyond them."""
     v = load(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).alias("value"))
     m = _m(spark, sf)
     return rounded(coo.apply(m, v, fill=-1.0, n=extent(m, "row", 150, 50)), "value", digits=4)

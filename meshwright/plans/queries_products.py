@@ -12,12 +12,13 @@ from .registry import load, query
 from .sample import A16, B8, HCDEFS, rounded
 
 _FINE = HntrSpec(64, 32)
+_PRICES = f"(SELECT p_partkey % {_FINE.size} AS p_partkey, avg(p_retailprice) AS p_retailprice FROM part GROUP BY 1)"
 _RAW = f"""SELECT CAST(k AS BIGINT) AS idx, CASE WHEN (k * 7919) % 11 < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS focean, CASE WHEN (k * 7919) % 11 > 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fgice,
-  coalesce(p_retailprice, 500) * 0.999983217 + k % 13 AS zicetop, coalesce(p_retailprice, 500) * 0.999983217 - 300 + k % 13 AS zsolg FROM range({_FINE.size}) t(k) LEFT JOIN part ON p_partkey = k"""
+  coalesce(p_retailprice, 500) * 0.999983217 + k % 13 AS zicetop, coalesce(p_retailprice, 500) * 0.999983217 - 300 + k % 13 AS zsolg FROM range({_FINE.size}) t(k) LEFT JOIN {_PRICES} ON p_partkey = k"""
 
 
 def _prices(spark: SparkSession, sf: str) -> DataFrame:
-    """``(id, p_retailprice)``: the mean price of all parts folded onto the fine grid. The SQL takes part keys below its size as they are, all of them up to 2,000 parts."""
+    """``(id, p_retailprice)``: the mean price of all parts folded onto the fine grid."""
     return load(spark, sf, "part").groupBy(F.pmod("p_partkey", F.lit(_FINE.size)).alias("id")).agg(F.avg("p_retailprice").alias("p_retailprice"))
 
 
@@ -44,7 +45,7 @@ def topoo_fractions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("idx", "focean", "foceanf", "fgicef", "fgice"), "foceanf", "fgicef", "fgice", digits=9)
 
 
-@query(f"""WITH f AS (SELECT CAST(k AS BIGINT) AS idx, 0.0::DOUBLE AS focean, (k % 4) * 10 AS thickness, coalesce(p_retailprice, 0) AS elev, k % 5 = 0 AS greenland, k // 64 AS j, k % 64 AS i FROM range({_FINE.size}) t(k) LEFT JOIN part ON p_partkey = k),
+@query(f"""WITH f AS (SELECT CAST(k AS BIGINT) AS idx, 0.0::DOUBLE AS focean, (k % 4) * 10 AS thickness, coalesce(p_retailprice, 0) AS elev, k % 5 = 0 AS greenland, k // 64 AS j, k % 64 AS i FROM range({_FINE.size}) t(k) LEFT JOIN {_PRICES} ON p_partkey = k),
   c AS (SELECT *, (j // 4) * 16 + i // 4 AS block, 2 * pi() / 64 * (sin(pi() / 32 * (j - 15)) - sin(pi() / 32 * (j - 16))) AS area FROM f WHERE j >= 16 AND NOT greenland),
   u AS (SELECT *, sum(area) OVER (PARTITION BY block ORDER BY CAST(trunc(-elev) AS INT), j, i ROWS UNBOUNDED PRECEDING) AS upto, 0.3::DOUBLE * 2 * pi() / 16 * (sin(pi() / 8 * (block // 16 - 3)) - sin(pi() / 8 * (block // 16 - 4))) AS budget FROM c),
   s AS (SELECT idx FROM u WHERE upto <= budget OR upto - area <= budget AND budget - (upto - area) >= area / 2)

@@ -9,7 +9,7 @@ from ..functions.grids import LonLatSpec, RegridParams
 from ..operators import coo, merging, topo
 from ..operators.matrices import class_areas
 from ..operators.smoothing import smoothing_matrix
-from ..sources import gridgen
+from ..sources import gridgen, tables
 from ..streaming import contract, coupling
 from . import topography
 from .queries_matrix import FACTS, matrix_sql, sheet
@@ -51,8 +51,9 @@ def ice_to_gcm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT i_id, topg, thk FROM ({RASTER}) WHERE time = (SELECT max(time) FROM ({RASTER}))")
 def last_time_slice(spark: SparkSession, sf: str) -> DataFrame:
-    r = raster(spark, sf)
-    return r.join(F.broadcast(r.agg(F.max("time").alias("time"))), "time", "left_semi").select("i_id", "topg", "thk")
+    path = tables.shared_path(spark, "raster")
+    raster(spark, sf).write.parquet(path)
+    return tables.last_step(spark, path).select("i_id", "topg", "thk")
 
 
 @query(f"WITH {FACTS} SELECT CAST(ihc * {N_A} + a_id AS BIGINT) AS idx, round(sum(area * w), 6) AS w FROM x JOIN br USING (i_id) GROUP BY 1")
@@ -60,9 +61,9 @@ def class_cell_areas(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(class_areas(sheet(spark, sf)), "w")
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS idx, coalesce(proj_area, -1) AS w FROM range(120) t(i) LEFT JOIN ({AREAS}) ON a_id = i")
+@query(f"SELECT CAST(i AS BIGINT) AS idx, coalesce(proj_area, -1) AS w FROM (SELECT unnest(range(greatest(120, 21 + (SELECT max(s_suppkey) FROM supplier)))) AS i) LEFT JOIN ({AREAS}) ON a_id = i")
 def atmosphere_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Weights of all suppliers, and the fill for some ids beyond them. The SQL lists the ids below 120, all of them up to 100 suppliers."""
+    """Weights of all suppliers, and the fill for some ids beyond them."""
     a = areas(spark, sf)
     r = Regridder(spark, a.select("a_id", "native_area"), extent(a, "a_id", 120, 20), HCDEFS)
     r.add_sheet("s", exchange(spark, sf), proj_areas=a.select("a_id", "proj_area"))

@@ -160,8 +160,8 @@ def ice_thickness(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(topo.ice_thickness(c).select("idx", "thick"), "thick")
 
 
-@query("""WITH c AS (SELECT s_suppkey AS idx, 50.0::DOUBLE + s_suppkey % 9 AS area, (s_suppkey % 3) / 2.0::DOUBLE AS fo FROM supplier),
-  d AS (SELECT l_suppkey AS idx, sum(l_quantity) / 200.0 AS cont, sum(l_tax) * 20 AS ice, sum(l_discount) * 300 AS zatmo, sum(l_discount) * 700 AS ztop FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1),
+@query("""WITH c AS (SELECT s_suppkey AS idx, 50.0::DOUBLE + s_suppkey % 9 AS area, (s_suppkey % 3) / 2.0::DOUBLE AS fo FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT s_suppkey + 1000000000 FROM supplier)),
+  d AS (SELECT l_suppkey AS idx, sum(l_quantity) / 200.0 AS cont, sum(l_tax) * 20 AS ice, sum(l_discount) * 300 AS zatmo, sum(l_discount) * 700 AS ztop FROM lineitem GROUP BY 1),
   x AS (SELECT c.idx, area, CASE WHEN fo > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fm, CASE WHEN cont IS NULL THEN fo ELSE fo - cont / area END AS op, coalesce(ice, 0) / area AS di, CASE WHEN cont IS NULL THEN 5.0::DOUBLE ELSE 5 + zatmo / area END AS zp, coalesce(ztop, 0) AS dz, cont IS NOT NULL AS added FROM c LEFT JOIN d USING (idx)),
   y AS (SELECT *, 0.1 + di AS ip, added AND op < 0.5 AND fm = 1 AS t FROM x)
   SELECT idx, round(op, 6) AS focean_p, round(ip, 6) AS fgice_p, round(zp, 6) AS zatmo_p, round(CASE WHEN added THEN (90 * 0.1 + dz / area * di) / ip ELSE 90 END, 6) AS zicetop, CASE WHEN t THEN 0.0::DOUBLE ELSE fm END AS focean_m, round(CASE WHEN t THEN ip / (1 - op) ELSE 0 END, 6) AS fgice_m, round(CASE WHEN t THEN zp / (1 - op) ELSE 0 END, 6) AS zatmo_m, round(CASE WHEN t THEN 1 - ip / (1 - op) - 0.05 ELSE 0 END, 6) AS fgrnd_m, CAST(added AS INT) AS mergemask FROM y""")
@@ -169,8 +169,10 @@ def merge_sheets(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     fo = F.pmod(k, F.lit(3)) / 2.0
     lit = lambda v: F.lit(float(v))
-    cells = load(spark, sf, "supplier").select(k.alias("idx"), (50.0 + F.pmod(k, F.lit(9))).alias("area"), fo.alias("focean_p"), lit(0.1).alias("fgice_p"), lit(5).alias("zatmo_p"), lit(90).alias("zicetop"), F.when(fo > 0, 1.0).otherwise(0.0).alias("focean_m"), lit(0.05).alias("flake_m"), lit(0).alias("fgrnd_m"), lit(0).alias("fgice_m"), lit(0).alias("zatmo_m"))
-    li = load(spark, sf, "lineitem").filter("l_suppkey % 4 <> 0")
+    keys = load(spark, sf, "supplier").select("s_suppkey")
+    keys = keys.union(keys.select(k + 1000000000))  # as many cells without any ice sheet
+    cells = keys.select(k.alias("idx"), (50.0 + F.pmod(k, F.lit(9))).alias("area"), fo.alias("focean_p"), lit(0.1).alias("fgice_p"), lit(5).alias("zatmo_p"), lit(90).alias("zicetop"), F.when(fo > 0, 1.0).otherwise(0.0).alias("focean_m"), lit(0.05).alias("flake_m"), lit(0).alias("fgrnd_m"), lit(0).alias("fgice_m"), lit(0).alias("zatmo_m"))
+    li = load(spark, sf, "lineitem")
     sheets = li.groupBy(F.col("l_suppkey").alias("idx"), F.pmod("l_orderkey", F.lit(2)).alias("sheet")).agg((F.sum("l_quantity") / 200).alias("da_cont"), (F.sum("l_tax") * 20).alias("da_ice"), (F.sum("l_discount") * 300).alias("da_zatmo"), (F.sum("l_discount") * 700).alias("da_zicetop"))
     out = topo.merge_sheets(cells, sheets.drop("sheet")).select("idx", "focean_p", "fgice_p", "zatmo_p", "zicetop", "focean_m", "fgice_m", "zatmo_m", "fgrnd_m", "mergemask")
     return rounded(out, "focean_p", "fgice_p", "zatmo_p", "zicetop", "fgice_m", "zatmo_m", "fgrnd_m")
@@ -256,7 +258,7 @@ def class_coverage(spark: SparkSession, sf: str) -> DataFrame:
 _FINE64 = HntrSpec(64, 32)
 
 
-@query(f"""WITH i AS (SELECT p_partkey % {_FINE64.size} AS idx, max(p_retailprice) * 0.999983217 AS elev FROM part WHERE p_size > 10 GROUP BY 1), h AS (SELECT CAST(k AS INT) AS ihc, 400.0::DOUBLE * k AS h FROM range(7) t(k)),
+@query(f"""WITH i AS (SELECT p_partkey % {_FINE64.size} AS idx, max(p_retailprice) * 0.999983217 AS elev FROM part GROUP BY 1), h AS (SELECT CAST(k AS INT) AS ihc, 400.0::DOUBLE * k AS h FROM range(7) t(k)),
   f AS (SELECT idx, elev, (idx // 64) // 4 * 16 + (idx % 64) // 4 AS o, 2 * pi() / 64 * (sin(pi() / 32 * (idx // 64 + 1 - 16)) - sin(pi() / 32 * (idx // 64 - 16))) AS area FROM i),
   w AS (SELECT o, idx, ihc + d AS ihc, area * CASE d WHEN 0 THEN 1 - (elev - h) / 400 ELSE (elev - h) / 400 END AS v FROM f, h, (VALUES (0), (1)) t(d) WHERE ihc < 6 AND elev > h AND elev <= h + 400)
   SELECT CAST(ihc * {A16.size} + o AS BIGINT) AS row, CAST(o AS BIGINT) AS col, round(sum(v), 9) AS val FROM w WHERE v <> 0 GROUP BY 1, 2""")
@@ -264,7 +266,7 @@ def global_ec(spark: SparkSession, sf: str) -> DataFrame:
     """Areas of elevation classes by ocean cell, from a raster that nests in the ocean grid."""
     from .regridder import global_classes
 
-    ice = load(spark, sf, "part").filter("p_size > 10").groupBy(F.pmod("p_partkey", F.lit(_FINE64.size)).alias("idx")).agg((F.max("p_retailprice") * 0.999983217).alias("elev"))
+    ice = load(spark, sf, "part").groupBy(F.pmod("p_partkey", F.lit(_FINE64.size)).alias("idx")).agg((F.max("p_retailprice") * 0.999983217).alias("elev"))
     m = global_classes(ice, _FINE64, A16, HCDEFS)["EvA"]
     return rounded(coo.scale(m.M, m.wM, "row"), "val", digits=9)
 
@@ -275,12 +277,12 @@ _X = "SELECT CAST(event_id % 60 AS BIGINT) AS row, user_id % 12 AS col, sum(1.0:
 
 @query(f"""WITH x0 AS ({_X.format(p=0)}), x1 AS ({_X.format(p=1)}), s0 AS (SELECT row, col, val / sum(val) OVER (PARTITION BY row) AS v FROM x0), s1 AS (SELECT row, col, val / sum(val) OVER (PARTITION BY row) AS v FROM x1),
   d AS (SELECT row, col, sum(v) AS v FROM (SELECT * FROM s0 UNION ALL SELECT row, col, -v FROM s1) GROUP BY 1, 2)
-  SELECT x1.col AS row, d.col AS col, round(sum(x1.val * d.v) / any_value(w), 6) AS val FROM x1 JOIN d ON d.row = x1.row JOIN (SELECT col AS e, sum(val) AS w FROM x1 GROUP BY 1) ON e = x1.col GROUP BY 1, 2""")
+  SELECT x1.col AS row, d.col AS col, round(sum(x1.val * d.v) / any_value(w), 9) AS val FROM x1 JOIN d ON d.row = x1.row JOIN (SELECT col AS e, sum(val) AS w FROM x1 GROUP BY 1) ON e = x1.col GROUP BY 1, 2""")
 def e1ve0(spark: SparkSession, sf: str) -> DataFrame:
     """How values move between classes from one step to the next."""
     ev = load(spark, sf, "events")
     m = lambda p: ev.filter(F.col("event_id") % 2 == p).groupBy(F.pmod("event_id", F.lit(60)).alias("row"), F.pmod("user_id", F.lit(12)).alias("col")).agg(F.sum(F.pmod("event_id", F.lit(3)) + 1.0).alias("val"))
-    return rounded(coupling.class_change(m(1), m(0)), "val")
+    return rounded(coupling.class_change(m(1), m(0)), "val", digits=9)
 
 
 @query("SELECT event_id AS idx, round(value / 86400 * 1.0, 9) AS flux, round(value * 1000 + 2 * (event_id % 5) + 273.15, 6) AS heat FROM events")

@@ -92,18 +92,26 @@ class Regridder:
         return out
 
     def save(self, path: str) -> None:
+        """Everything that the regridder is made of; ``load`` gives it back."""
         self.areas.write.mode("overwrite").parquet(f"{path}/areas")
-        self.spark.createDataFrame([(self.n_a, list(map(float, self.hcdefs)), self.correct_a)], "n_a long, hcdefs array<double>, correct_a boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+        head = [(self.n_a, list(map(float, self.hcdefs)), self.correct_a)]
+        self.spark.createDataFrame(head, "n_a long, hcdefs array<double>, correct_a boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+        about = [(n, s.style, s.ice_cells is not None, s.proj_areas is not None) for n, s in self.sheets.items()]
+        self.spark.createDataFrame(about, "sheet string, style string, has_cells boolean, has_areas boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/sheets")
         for n, s in self.sheets.items():
-            s.exchange.write.mode("overwrite").parquet(f"{path}/exchange/sheet={n}")
-            self.sheet_areas(n).write.mode("overwrite").parquet(f"{path}/sheet_areas/sheet={n}")
+            for kind, df in (("exchange", s.exchange), ("ice_cells", s.ice_cells), ("proj_areas", s.proj_areas)):
+                if df is not None:
+                    df.write.mode("overwrite").parquet(f"{path}/{kind}/sheet={n}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, sheets: list[str]) -> Regridder:
+    def load(spark: SparkSession, path: str, sheets: list[str] | None = None) -> Regridder:
+        """What ``save`` wrote, with all sheets or those named."""
         head = spark.read.parquet(f"{path}/head").first()
         out = Regridder(spark, spark.read.parquet(f"{path}/areas"), head["n_a"], list(head["hcdefs"]), head["correct_a"])
-        for n in sheets:
-            out.add_sheet(n, spark.read.parquet(f"{path}/exchange/sheet={n}"), None, spark.read.parquet(f"{path}/sheet_areas/sheet={n}").select("a_id", "proj_area"))
+        about = {r["sheet"]: r for r in spark.read.parquet(f"{path}/sheets").orderBy("sheet").collect()}
+        for n in about if sheets is None else sheets:
+            part = lambda kind, there: spark.read.parquet(f"{path}/{kind}/sheet={n}") if there else None  # noqa: B023, E731
+            out.add_sheet(n, part("exchange", True), part("ice_cells", about[n]["has_cells"]), part("proj_areas", about[n]["has_areas"]), about[n]["style"])
         return out
 
 
@@ -163,7 +171,11 @@ class MismatchedRegridder:
         return overlap_matrix(self.base.spark, self.ocean, self.atmosphere)
 
     def matrix(self, name: str, spec: str, elevmask: DataFrame, scale: bool = True) -> WeightedMatrix:
-        """AvI, IvA, EvI, IvE, AvX, XvA, EvX, XvE, EvA, AvE of the atmosphere grid, AOmvAAm or AAmvAOm."""
+        """AvI, IvA, EvI, IvE, AvX, XvA, EvX, XvE, EvA, AvE of the atmosphere grid, AOmvAAm or AAmvAOm.
+
+        EAmvIp, AAmvIp, IpvEAm and IpvAAm are long names of EvI, AvI, IvE and IvA.
+        """
+        spec = {"EAmvIp": "EvI", "AAmvIp": "AvI", "IpvEAm": "IvE", "IpvAAm": "IvA"}.get(spec, spec)
         if spec in ("AOmvAAm", "AAmvAOm"):
             m = self.ocean_from_atmosphere()
             m = m if spec == "AOmvAAm" else coo.transpose(m)
@@ -217,6 +229,30 @@ def global_classes(ice: DataFrame, fine: HntrSpec, ocean_grid: HntrSpec, hcdefs:
     return {s: m.matrix(s) for s in SPECS}
 
 
+def on_display_grid(i_v_x: WeightedMatrix, display_v_i: DataFrame) -> WeightedMatrix:
+    """A matrix to the ice grid as one to a grid for display, unscaled.
+
+    ``display_v_i (row, col, val)``: areas that display and ice cells share, of ice
+    cells that are not masked. An ice cell's weight is divided among the display
+    cells by area.
+    """
+    share = coo.scale(display_v_i, coo.sums(display_v_i, "col"), "col", invert=True)
+    w = coo.scale(share, i_v_x.wM, "col")
+    m = coo.multiply(coo.scale(display_v_i, i_v_x.wM, "col", invert=True), i_v_x.M)
+    return WeightedMatrix(m, coo.sums(w, "row"), i_v_x.Mw, i_v_x.conservative, False)
+
+
+def display_overlap(elevmask: DataFrame, fine: HntrSpec, display: HntrSpec) -> DataFrame:
+    """``(row, col, val)``: areas shared by a coarser display grid and the unmasked cells ``(i_id, elev)`` of a fine one."""
+    return coo.crop(overlap_matrix(elevmask.sparkSession, display, fine), elevmask.select(F.col("i_id").alias("idx")), "col")
+
+
+def merged_a_v_e(local: DataFrame, everywhere: DataFrame, hc_local: list[float], hc_global: list[float], focean: DataFrame, o_grid: HntrSpec, a_grid: HntrSpec, areas: DataFrame, squash: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A <- E on the atmosphere grid from local and global E <- O matrices of the fractional ocean grid, with the table of classes."""
+    e_v_o, hc = merged_classes(local, everywhere, hc_local, hc_global, o_grid.size, squash)
+    return ocean.atmosphere_from_ocean_classes(e_v_o, focean, o_grid, a_grid, areas), hc
+
+
 def merged_classes(local: DataFrame, everywhere: DataFrame, hc_local: list[float], hc_global: list[float], n_a: int, squash: bool = False, axis: str = "row") -> tuple[DataFrame, DataFrame]:
     """Local and global class matrices as one, with the table of all classes; ``squash`` joins classes of equal elevation."""
     from ..operators.topo import UI_GLOBALICE, UI_LOCALICE

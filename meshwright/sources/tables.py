@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grids import HntrSpec, LonLatSpec, XYSpec
+from ..functions.grids import HntrSpec, LonLatSpec, XYSpec, lonlat_from_hntr
 from ..operators.coo import WeightedMatrix
 from ..operators.elevation import elevmasks
 
@@ -17,6 +19,16 @@ VERSION = 2
 _SPECS = {"hntr": HntrSpec, "lonlat": LonLatSpec, "xy": XYSpec}
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a local one only where that is unset and all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def spec_to_json(spec) -> str:
     kind = next(k for k, c in _SPECS.items() if isinstance(spec, c))
     return json.dumps({"type": kind, "version": VERSION} | asdict(spec))
@@ -97,6 +109,73 @@ def named_variables(spark: SparkSession, files: dict[str, tuple[str, str]], keys
     return out
 
 
+MASKS = ("mergemask", "underice")
+
+
+def write_topography(df: DataFrame, path: str, keys: tuple[str, ...] = ("idx", "cell", "ihc", "j", "i")) -> None:
+    """Topography on any grid: fields as doubles, masks as shorts, keys as they are, sorted by the first of them."""
+    first = next(k for k in keys if k in df.columns)
+    kinds = {c: "short" if c in MASKS else "double" for c in df.columns if c not in keys}
+    df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}).repartitionByRange(first).sortWithinPartitions(*(k for k in keys if k in df.columns)).write.mode("overwrite").parquet(path)
+
+
+def write_merged(topoo: DataFrame, e_v_o: WeightedMatrix, classes: DataFrame, path: str) -> None:
+    """Ocean-grid topography with the sheets merged in, its matrix to elevation classes, and the classes' elevations."""
+    write_topography(topoo, f"{path}/topoo")
+    write_matrix(e_v_o, path, "EvO")
+    classes.coalesce(1).sortWithinPartitions("ihc").write.mode("overwrite").parquet(f"{path}/classes")
+
+
+def write_overlap(a: tuple[DataFrame, object, str], i: tuple[DataFrame, object, str], exchange: DataFrame, path: str) -> None:
+    """Two grids ``(cells, description, name)`` and their exchange grid, side by side in one folder."""
+    for cells, spec, name in (a, i):
+        write_grid(cells, spec, f"{path}/{name}", name, getattr(spec, "sproj", ""))
+    write_exchange(exchange, f"{path}/exchange", i[2])
+
+
+def grid_from_spec(spark: SparkSession, text: str, path: str, name: str) -> DataFrame:
+    """Generate the cells of a description in JSON and write them; regular grids become boundary grids."""
+    from . import gridgen
+
+    spec = spec_from_json(text)
+    full = lonlat_from_hntr(spec) if isinstance(spec, HntrSpec) else spec
+    cells = gridgen.xy_cells(spark, full) if isinstance(full, XYSpec) else gridgen.lonlat_cells(spark, full)
+    write_grid(cells, full, path, name, getattr(full, "sproj", ""))
+    return read_grid(spark, path)[0]
+
+
+#: The fields of an ocean-grid topography bundle, and those that one merged with ice sheets has besides.
+TOPOO = ("focean", "flake", "fgrnd", "fgice", "zatmo", "zlake", "zicetop", "foceanf", "fgicef", "zatmof")
+TOPOO_MERGED = (*TOPOO, "zland_min", "zland_max", "mergemask")
+
+
+def read_topoo(spark: SparkSession, path: str, merged: bool = False) -> DataFrame:
+    """The fields of a bundle by name; a missing one raises."""
+    df = spark.read.parquet(path)
+    names = TOPOO_MERGED if merged else TOPOO
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise ValueError(f"no {', '.join(missing)} in {path}")
+    return df.select("idx", *names)
+
+
+#: The code of Greenland in the ocean mask, and the depth of the sea that takes its place.
+GREENLAND_CODE, GREENLAND_DEPTH = 2.0, -300.0
+
+
+def separate_greenland(raw: DataFrame, separate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Raw fields ``(..., focean, elev)`` without Greenland, and Greenland's own cells; or, not separated, with it as land.
+
+    Greenland is where ``focean`` has its code. Without it there is a shallow sea; its
+    own table has ``focean`` 0.
+    """
+    here = F.col("focean") == GREENLAND_CODE
+    own = raw.filter(here).withColumn("focean", F.lit(0.0))
+    if not separate:
+        return raw.withColumn("focean", F.when(here, 0.0).otherwise(F.col("focean"))), own.limit(0)
+    return raw.withColumns({"focean": F.when(here, 1.0).otherwise(F.col("focean")), "elev": F.when(here, GREENLAND_DEPTH).otherwise(F.col("elev"))}), own
+
+
 #: Readers of elevation masks by the prefix of ``type:path``.
 ELEVMASK_READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pism": lambda spark, path: elevmasks(spark.read.parquet(path))}
 

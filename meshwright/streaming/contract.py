@@ -76,11 +76,16 @@ class VarSet:
 
 @dataclass(frozen=True)
 class Term:
-    """``dst += coef * src``, ``coef`` a number or the name of a scalar of the step, such as ``by_dt``."""
+    """``dst += coef * src``, ``coef`` a number or the name of a scalar of the step, such as ``by_dt``.
+
+    A number without units is one in the source's own, which are converted; one with
+    ``units`` already makes the target's of them.
+    """
 
     dst: str
     src: str
     coef: float | str = 1.0
+    units: str = ""
 
 
 class Transformer:
@@ -100,7 +105,7 @@ class Transformer:
             total = None
             for t in (t for t in self.terms if t.dst == v.name):
                 coef = scalars[t.coef] if isinstance(t.coef, str) else t.coef
-                f = 1.0 if t.src == UNIT or isinstance(t.coef, str) else units.factor(self.inputs[t.src].units, v.units)
+                f = 1.0 if t.src == UNIT or t.units or isinstance(t.coef, str) else units.factor(self.inputs[t.src].units, v.units)
                 src = F.lit(1.0) if t.src == UNIT else F.col(t.src)
                 part = src * F.lit(None if coef is None else float(coef) * f).cast("double")
                 total = part if total is None else total + part
@@ -144,3 +149,69 @@ def _climate_echo(constants: dict[str, float]) -> tuple[Transformer, Transformer
     ice_out = VarSet().add("elev", "m", GRID_ICE).add("mass", "kg m-2", GRID_ICE).add("enth", "J m-2", GRID_ICE)
     back = VarSet().add("elev", "m", GRID_ELEVATION).add("smb", "kg m-2 s-1", GRID_ELEVATION).add("heat", "W m-2", GRID_ELEVATION)
     return there, Transformer(ice_out, back, [Term("elev", "elev"), Term("smb", "mass", "by_dt"), Term("heat", "enth", "by_dt")])
+
+
+@dataclass(frozen=True)
+class EnthalpyConverter:
+    """Specific enthalpy to temperature and water content at the ice surface, where the pressure counts as zero."""
+
+    specific_heat: float = 2009.0  # J kg-1 K-1
+    reference: float = 223.15  # K, where the enthalpy is zero
+    melting: float = 273.15  # K
+    latent_heat: float = 3.34e5  # J kg-1
+
+    @property
+    def solid(self) -> float:
+        """The enthalpy of ice at its melting point without any water."""
+        return self.specific_heat * (self.melting - self.reference)
+
+    @property
+    def liquid(self) -> float:
+        """The enthalpy of water at the melting point: what the climate model counts from."""
+        return self.solid + self.latent_heat
+
+    def temperature(self, enthalpy: Column) -> Column:
+        return F.when(enthalpy < self.solid, enthalpy / self.specific_heat + self.reference).otherwise(self.melting)
+
+    def water(self, enthalpy: Column) -> Column:
+        return F.when(enthalpy > self.solid, (enthalpy - self.solid) / self.latent_heat).otherwise(0.0)
+
+
+LAYER = 40.0  # m, the depth of a layer of the ice model
+
+
+def conductivity(constants: dict[str, tuple[float, str]]) -> float:
+    """How much enthalpy difference drives a unit of heat flux between two layers, in kg m-2 s-1, from the climate model's constants."""
+    density = constant(constants, "rhoi", "kg m-3")
+    heat = constant(constants, "shi", "J kg-1 K-1")
+    return constants["stieglitz_8b"][0] * density * density / (heat * LAYER)
+
+
+def surface_boundary(df: DataFrame, kappa: float, converter: EnthalpyConverter | None = None, use_smb: bool = True) -> DataFrame:
+    """The ice model's inputs with ``ice_top_bc_temp`` and ``ice_top_bc_wc``, a boundary that makes the heat flux ``deltah``.
+
+    ``df`` has ``deltah`` (W m-2) and ``ice_top_senth``, the specific enthalpy of the ice
+    below. Without ``use_smb`` the boundary is that ice itself, and no mass or
+    enthalpy is transferred.
+    """
+    converter = converter or EnthalpyConverter()
+    above = F.col("ice_top_senth") + (F.col("deltah") / kappa if use_smb else F.lit(0.0))
+    out = df.withColumns({"ice_top_bc_temp": converter.temperature(above), "ice_top_bc_wc": converter.water(above)})
+    return out if use_smb else out.withColumns({c: F.lit(0.0) for c in ("massxfer", "enthxfer") if c in df.columns})
+
+
+@contract("climate", "pism")
+def _climate_pism(constants: dict[str, float]) -> tuple[Transformer, Transformer]:
+    """Surface fluxes to the ice, with enthalpies counted from the ice model's zero; its states, sums and elevations back.
+
+    The constant ``enth_to_ice`` moves a specific enthalpy to the ice model's zero; without it
+    the liquid enthalpy of EnthalpyConverter does.
+    """
+    shift = constants.get("enth_to_ice", EnthalpyConverter().liquid)
+    out = VarSet().add("massxfer", "kg m-2 s-1", GRID_ELEVATION).add("enthxfer", "W m-2", GRID_ELEVATION).add("deltah", "J m-2", GRID_ELEVATION)
+    ice_in = VarSet().add("massxfer", "kg m-2 s-1", GRID_ICE).add("enthxfer", "W m-2", GRID_ICE).add("deltah", "W m-2", GRID_ICE | PRIVATE)
+    there = Transformer(out, ice_in, [Term("massxfer", "massxfer"), Term("enthxfer", "enthxfer"), Term("enthxfer", "massxfer", shift, "J kg-1"), Term("deltah", "deltah", "by_dt")])
+    ice_out = VarSet().add("elev", "m", GRID_ICE).add("ice_top_senth", "J kg-1", GRID_ICE).add("mass", "kg m-2", GRID_ICE).add("enth", "J m-2", GRID_ICE)
+    back = VarSet().add("elev", "m", GRID_ELEVATION).add("senth", "J kg-1", GRID_ELEVATION).add("smb", "kg m-2 s-1", GRID_ELEVATION).add("heat", "W m-2", GRID_ELEVATION)
+    terms = [Term("elev", "elev"), Term("senth", "ice_top_senth"), Term("senth", UNIT, -shift), Term("smb", "mass", "by_dt"), Term("heat", "enth", "by_dt")]
+    return there, Transformer(ice_out, back, terms)

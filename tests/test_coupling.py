@@ -51,6 +51,72 @@ def test_steps_restart_and_replay(spark, tmp_path):
     assert last == pytest.approx(total)
 
 
+def test_a_batch_that_comes_again_is_the_same_step(spark, tmp_path):
+    """A step that failed before its mark was written is run again from the state before it, also by a new coupler."""
+    path = f"file://{tmp_path}/c"
+    c = coupling.Coupler(spark, [sheet(spark)], path)
+    c.couple(0.0)
+    rows = lambda df: sorted(tuple(None if x is None else round(x, 9) for x in r) for r in df.collect())
+    want = rows(c.couple(86400.0, batch(spark, 1))["E"])
+    failing = coupling.Coupler(spark, [sheet(spark)], f"file://{tmp_path}/d")
+    failing.couple(0.0)
+    model = failing.sheets[0].model
+
+    def broken(*_):
+        raise RuntimeError("the ice model stopped")
+
+    failing.sheets[0].model = broken
+    with pytest.raises(RuntimeError):
+        failing.couple(86400.0, batch(spark, 1))
+    assert (failing.step, failing.time) == (0, 0.0) and failing.written(1) is None
+    failing.sheets[0].model = model
+    assert rows(failing.couple(86400.0, batch(spark, 1))["E"]) == want
+    for n in (1, 2):
+        batch(spark, n).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    new = coupling.Coupler(spark, [sheet(spark)], path)  # step 1 is there already; its batch comes again
+    new.replay(f"file://{tmp_path}/in", batch(spark, 1).schema, f"file://{tmp_path}/ck")
+    assert new.step == 2 and new.written(2) == 172800.0
+    again = spark.read.parquet(f"{path}/gcm_in/kind=E/step=1")
+    assert rows(again) == want
+    with pytest.raises(ValueError):
+        new.restore(9)
+
+
+def test_smoothing_changes_the_inputs_and_needs_cells(spark, tmp_path):
+    s = sheet(spark)
+    s.sigma = (1.0, 1.0, 0.0)
+    with pytest.raises(ValueError):
+        coupling.Coupler(spark, [s], f"file://{tmp_path}/a").couple(0.0)
+    s.ice_cells = spark.createDataFrame([(i, float(i), 0.0, 1.0) for i in range(10)], "cell_id long, cx double, cy double, native_area double")
+    a, b = coupling.Coupler(spark, [s], f"file://{tmp_path}/b"), coupling.Coupler(spark, [sheet(spark)], f"file://{tmp_path}/c")
+    a.couple(0.0)
+    b.couple(0.0)
+    smooth, plain = a._state["s", "IvE"], b._state["s", "IvE"]
+    assert smooth.count() > plain.count()
+
+
+def test_topography_keeps_the_first_ocean_mask(spark):
+    names = "idx long, area double, focean_p double, fgice_p double, zatmo_p double, zicetop double, focean_m double, flake_m double, fgrnd_m double, fgice_m double, zatmo_m double"
+    base = spark.createDataFrame([(k, 10.0, 0.6, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0) for k in range(16)], names)
+    deltas = lambda cont: spark.createDataFrame([(5, cont, 1.0, 20.0, 30.0)], "idx long, da_cont double, da_ice double, da_zatmo double, da_zicetop double")
+    t = coupling.Topography(base)
+    first = t.update([deltas(3.0)], 4, 4)
+    t.freeze(first)
+    second = t.update([deltas(0.5)], 4, 4)
+    get = lambda df: {r["idx"]: (r["focean_m"], r["focean_p"], r["mergemask"]) for r in df.collect()}
+    one, two = get(first), get(second)
+    assert one[5][0] == 0.0 and one[4][0] == 1.0
+    assert two[5][0] == 0.0 and two[5][1] == pytest.approx(0.55)  # the mask stays, the fraction doesn't
+    sent = coupling.changed_topography(t.update([deltas(0.5).filter("idx < 0")], 4, 4), second)
+    assert [r["idx"] for r in sent.collect()] == [5]
+
+
+def test_external_models():
+    assert coupling.command_line(["run"], {"i": "a.nc", "y": "10"}, {"i": "restart.nc"}) == ["run", "-i", "restart.nc", "-y", "10"]
+    with pytest.raises(ValueError):
+        coupling.ice_model("other")
+
+
 def test_class_change_is_a_change_of_basis(spark):
     x0 = spark.createDataFrame([(0, 0, 2.0), (1, 0, 1.0), (1, 1, 1.0), (2, 1, 3.0)], "row long, col long, val double")
     x1 = spark.createDataFrame([(0, 1, 2.0), (1, 0, 1.0), (1, 1, 1.0), (2, 1, 3.0)], "row long, col long, val double")

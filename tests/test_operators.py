@@ -234,3 +234,39 @@ def test_units():
     with pytest.raises(ValueError):
         units.factor("kg", "m")
     assert units.date_365(0) == "19500101" and units.date_365(365 * 86400 * 2 + 59 * 86400) == "19520301"
+
+
+def test_concave_polygons():
+    import random
+
+    from meshwright.operators import overlap_poly as op
+
+    rng = random.Random(3)
+    star = [(0.0, 0.0), (2.0, 0.5), (4.0, 0.0), (3.0, 2.0), (4.0, 4.0), (2.0, 3.0), (0.0, 4.0), (1.0, 2.0)]
+    ell = [(1.0, 1.0), (5.0, 1.0), (5.0, 2.5), (2.5, 2.5), (2.5, 5.0), (1.0, 5.0)]
+    for ring in (star, ell):
+        parts = op.triangles(ring)
+        assert not op.is_convex(ring) and sum(map(op.area, parts)) == pytest.approx(op.area(ring)) and all(op.area(t) >= 0 for t in parts)
+
+    def inside(ring, x, y):
+        return sum((ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay) for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2
+
+    pts = [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(40000)]
+    want = 25 * sum(inside(star, *p) and inside(ell, *p) for p in pts) / len(pts)
+    size, ring = op.shared(star, ell, (False, False))
+    assert ring is None and size == pytest.approx(want, abs=0.15) and op.shared(ell, star, (False, False))[0] == pytest.approx(size)
+    box = [(0.5, 0.5), (3.5, 0.5), (3.5, 3.5), (0.5, 3.5)]
+    assert op.shared(star, box, (False, True))[0] == pytest.approx(op.shared(box, star, (True, False))[0]) == pytest.approx(sum(max(0.0, op.area(op.clip(box, t))) for t in op.triangles(star)))
+
+
+def test_grid_helpers():
+    from meshwright.functions import grids
+
+    assert grids.split_shape((2, 3, 4), 12) == ((2,), (3, 4)) and grids.split_shape((5,), 1) == ((5,), ())
+    assert grids.parse_spec("EvA") == ("E", "A") and grids.parse_spec("AAmvEAm") == ("AAm", "EAm")
+    assert grids.div_down(-7, 5) == -2 and grids.div_up(-7, 5) == -1
+    h = grids.HntrSpec(16, 8)
+    assert grids.matching_hntr(grids.lonlat_from_hntr(h, pole_caps=True), h) == h
+    for bad in (lambda: grids.split_shape((2, 3), 4), lambda: grids.parse_spec("E"), lambda: grids.matching_hntr(grids.lonlat_from_hntr(h), grids.HntrSpec(8, 4))):
+        with pytest.raises(ValueError):
+            bad()
