@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,9 @@ from .repeats import PART_BITS, suspected
 from .tokens import SEPARATORS
 
 
+SALTS = 16
+
+
 def long_keys(text: bytes, min_chars: int) -> set[bytes]:
     """The keys of at least ``min_chars`` code points in a text."""
     out = set()
@@ -83,6 +86,13 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(texts, pa.binary()).cast(pa.string()), piece.column(2), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["id", "text", "row", "n_lines", "n_dropped"])
 
 
+def _salted(many: DataFrame, few: DataFrame, on: str, spread: Column) -> DataFrame:
+    """``many`` with what ``few`` says of ``on``; the rows of one value, which may be a third of all, go to SALTS tasks."""
+    salt = F.pmod(spread, F.lit(SALTS)).cast("int").alias("salt")
+    each = few.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return many.select("*", salt).join(each, [on, "salt"]).drop("salt")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: list[str] | None = None, part_bits: int = PART_BITS) -> DataFrame:
     """Drop repeated long lines: ``id, text, n_lines, n_dropped, row``, the last a struct of the columns in ``carry``.
 
@@ -102,19 +112,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = suspected(rows.select("own", "text"), _all_hashes(min_chars), chars // max(min_chars, 1), part_bits)
     # a key that enough documents hold has a hash that enough rows hold
     likely = scratch(found.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("hash"), "likely")
-    lists = scratch(found.join(likely, "hash").groupBy("key").agg(F.collect_list("hash").alias("hashes")), "lists")
+    listed = _salted(found, likely, "hash", F.col("key")).groupBy("key").agg(F.collect_list("hash").alias("hashes"))
+    lists = scratch(listed, "lists")
     discard(found, likely)
-    held = scratch(rows.join(lists, F.col("own") == F.col("key"), "left").select("id", "text", "row", "own", "hashes"), "lines")
+    # lists and drops grow with the corpus, so they are never broadcast
+    held = scratch(rows.join(lists.hint("merge"), F.col("own") == F.col("key"), "left").select("id", "text", "row", "own", "hashes"), "lines")
     discard(lists)
     some = held.filter("hashes is not null")
     once = scratch(some.select("own", "text", "id", "hashes").transform(arrow_map, _keys(min_chars), "row long, id long, key string"), "keys")
     repeated = once.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("key", "keeper")
     repeated = scratch(repeated, "repeated")
-    drops = once.join(repeated, "key").filter("id <> keeper").select("row", "id", "key").distinct()
+    drops = _salted(once, repeated, "key", F.col("row")).filter("id <> keeper").select("row", "id", "key").distinct()
     drops = scratch(drops.groupBy(F.col("row").alias("own"), "id").agg(F.collect_list("key").alias("drops")), "drops")
     discard(once, repeated)
     plain = held.filter("hashes is null").withColumn("drops", F.lit(None).cast("array<string>"))
-    out = plain.unionByName(some.join(drops, ["own", "id"], "left")).select("id", "text", "row", "drops")
+    out = plain.unionByName(some.join(drops.hint("merge"), ["own", "id"], "left")).select("id", "text", "row", "drops")
     out = out.transform(arrow_map, _apply, T.StructType(out.schema.fields[:3]).add("n_lines", "long").add("n_dropped", "long"))
     return out.withColumn("id", unkey(F.col("id"), LOWEST))
 
