@@ -128,8 +128,9 @@ def test_exchange_grid_covers_both_grids(spark):
     assert x.filter(F.abs(geometry.shoelace(F.col("ring")) - F.col("area")) > 1e-12).count() == 0
     assert x.select("a_id", "i_id").distinct().count() == x.count()
     dart = spark.createDataFrame([(0, [(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 0.5, 0.5), (3, 0.0, 2.0)])], f"cell_id long, ring {RING}")
+    assert overlap_poly.exchange_grid(a, dart).agg(F.sum("area")).first()[0] == pytest.approx(1.0)
     with pytest.raises(PySparkException):
-        overlap_poly.exchange_grid(a, dart).collect()
+        overlap_poly.exchange_grid(dart, dart, rings=True).collect()
 
 
 def test_projection_round_trip_and_published_value(spark):
