@@ -11,7 +11,8 @@ distinct words of a batch go through the recursion together as matrix columns.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +28,7 @@ from .tokens import NOT_ALPHA, WordBatch, mix64
 #: The model learns from at most so many rows a language, those with the least hash of id and text, and so many bytes of them.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 8 << 20
 LONGEST_PIECE, LONGEST_WORD = 12, 48
+KNOWN_WORDS = 1 << 16
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -51,10 +53,31 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(words), width).astype(np.uint64), size
 
 
+class Pieces:
+    """The pieces' hashes, sorted; a table of their first bits rules out nearly all other strings at once."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.shift = np.uint64(64 - self.BITS)
+        self.maybe = np.zeros(1 << self.BITS, dtype=bool)
+        self.maybe[hashes >> self.shift] = True
+
+    def find(self, h: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """The number of the piece with each hash that fits, else the number of pieces."""
+        out = np.full(h.shape, len(self.hashes))
+        on = fits & self.maybe[h >> self.shift]
+        h = h[on]
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        out[on] = np.where(self.hashes[at] == h, at, len(self.hashes))
+        return out
+
+
 class Lattice:
     """For a batch of words: which piece, if any, spans each (start, length)."""
 
-    def __init__(self, hashes: np.ndarray, words: list[str]) -> None:
+    def __init__(self, known: Pieces, words: list[str]) -> None:
         codes, self.size = _codes(words)
         n, width = codes.shape
         up, down = np.full(width + 1, _R), np.full(width + 1, _RINV)
@@ -63,15 +86,12 @@ class Lattice:
         np.cumprod(down, out=down)
         sums = np.zeros((n, width + 1), np.uint64)
         np.cumsum(codes * up[:width], axis=1, out=sums[:, 1:])
-        self.width, self.none = width, len(hashes)
+        self.width, self.none = width, len(known.hashes)
         #: piece[length][:, start] is the piece's number, or ``none``
         self.piece: dict[int, np.ndarray] = {}
         for length in range(1, min(LONGEST_PIECE, width) + 1):
             h = mix64((sums[:, length:] - sums[:, :-length]) * down[: width + 1 - length])
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            found = np.where(hashes[at] == h, at, self.none)
-            found[np.arange(width + 1 - length)[None, :] + length > self.size[:, None]] = self.none
-            self.piece[length] = found
+            self.piece[length] = known.find(h, np.arange(width + 1 - length)[None, :] + length <= self.size[:, None])
 
 
 def piece_hash(piece: str) -> int:
@@ -90,6 +110,28 @@ class Model:
     prob: np.ndarray
     langs: list[str]
     unknown: float  # probability of a character that no piece matches
+    #: Hashes of frequent words of the sample, sorted, and their log probabilities, so that no task computes them again.
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(self.hashes)
+
+    @cached_property
+    def scorer(self) -> Scorer:
+        """One for all tasks of a Python worker."""
+        return Scorer(self)
+
+    def know(self, words: list[str]) -> Model:
+        """Remember the scores of whole words that need no cutting."""
+        batch = _batch(pa.array(words, pa.string()))
+        plain = [k for k, n in enumerate(batch.counts) if n == 1 and len(words[k]) < LONGEST_WORD and words[k].encode() == batch.word(batch.first[k])]
+        h = batch.hash[batch.first[:-1][plain]] if plain else np.zeros(0, np.uint64)
+        logs = self.log_probability([SPACE + words[k] for k in plain]).astype(np.float32)
+        self.words, first = np.unique(h, return_index=True)
+        self.logs = logs[first]
+        return self
 
     def forward(self, lattice: Lattice) -> np.ndarray:
         """alpha[position] (words x languages): the summed probability of all cuts of the first characters."""
@@ -111,7 +153,7 @@ class Model:
         order = np.argsort([len(w) for w in words], kind="stable")
         for at in range(0, len(order), 2048):  # words of like length together
             own = order[at : at + 2048]
-            lattice = Lattice(self.hashes, [words[k] for k in own])
+            lattice = Lattice(self.pieces, [words[k] for k in own])
             out[own] = np.log(self.forward(lattice)[lattice.size, np.arange(len(own))])
         return out
 
@@ -127,7 +169,7 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
     for _ in range(rounds if langs else 0):
         expected = np.full((len(hashes) + 1, len(langs)), smooth)
         for at in range(0, len(words), 2048):
-            lattice = Lattice(hashes, words[at : at + 2048])
+            lattice = Lattice(model.pieces, words[at : at + 2048])
             n, width = len(lattice.size), lattice.width
             alpha = model.forward(lattice)
             beta = np.zeros_like(alpha)
@@ -138,12 +180,16 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
                         p = model.prob[found[:, start]]
                         beta[start] += (np.maximum(p, model.unknown) if length == 1 else p) * beta[start + length]
             share = weight[at : at + n] / beta[0]
+            at_piece, add = [], []
             for length, found in lattice.piece.items():
-                for start in range(width + 1 - length):
-                    own = found[:, start]
-                    hit = np.flatnonzero(own != lattice.none)
-                    if len(hit):
-                        np.add.at(expected, own[hit], alpha[start, hit] * model.prob[own[hit]] * beta[start + length, hit] * share[hit])
+                hit, start = np.nonzero(found != lattice.none)
+                own = found[hit, start]
+                at_piece.append(own)
+                add.append(alpha[start, hit] * model.prob[own] * beta[start + length, hit] * share[hit])
+            if at_piece:
+                at_piece, add = np.concatenate(at_piece), np.concatenate(add)
+                for g in range(len(langs)):
+                    expected[:, g] += np.bincount(at_piece, add[:, g], len(expected))
         expected[-1] = 0
         model.prob = expected / expected.sum(axis=0)
     return model
@@ -167,10 +213,10 @@ def _runs(word: bytes) -> list[str]:
 class Scorer:
     """Scores batches, and keeps what it knows of the most recent ``keep`` distinct words."""
 
-    def __init__(self, model: Model, keep: int = 1 << 18) -> None:
+    def __init__(self, model: Model, keep: int = 1 << 19) -> None:
         self.model, self.keep = model, keep
-        self.known = np.zeros(0, np.uint64)
-        self.value = np.zeros((0, len(model.langs)), np.float32)
+        self.known = model.words
+        self.value = model.logs.reshape(len(model.words), len(model.langs))
 
     def __call__(self, batch: WordBatch) -> np.ndarray:
         """log P(text | language), rows x languages."""
@@ -185,7 +231,7 @@ class Scorer:
         if flat:
             logs = self.model.log_probability(flat)
             value[new] = np.add.reduceat(logs, np.r_[0, np.cumsum([len(x) for x in runs])[:-1]], axis=0)
-            if len(self.known) + len(new) > self.keep:
+            if len(self.known) + len(new) > self.keep:  # begin anew with what is certain to be of use
                 self.known, self.value = h, value
             else:
                 known = np.r_[self.known, h[new]]
@@ -226,7 +272,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for k, c in zip(first, n, strict=True):
                 for r in _runs(batch.word(k)):
                     own[r] = own.get(r, 0) + int(c)
-    return fit(counts, read_pieces(vocabulary))
+    model = fit(counts, read_pieces(vocabulary))
+    total: dict[str, int] = {}
+    for own in counts.values():
+        for run, n in own.items():
+            if run.startswith(SPACE):
+                total[run[1:]] = total.get(run[1:], 0) + n
+    return model.know(sorted(total, key=lambda w: (-total[w], w))[:KNOWN_WORDS]) if model.langs else model
 
 
 PREDICTED = "id:long lang_pred:string score:double"
@@ -246,11 +298,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        scorer = Scorer(m)
         for piece in pieces(batches, "text"):
             texts = piece.column(1)
             batch = _batch(texts.fill_null(""))
-            logs = scorer(batch) if m.langs else np.zeros((len(texts), 1))
+            logs = m.scorer(batch) if m.langs else np.zeros((len(texts), 1))
             best = logs.argmax(axis=1)
             score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
             plain = np.array([bool(m.langs) and t is not None and has_letter(t) for t in texts.to_pylist()], dtype=bool)
