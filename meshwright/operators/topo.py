@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 UI_UNUSED, UI_LOCALICE, UI_GLOBALICE, UI_SEALAND, UI_VGHOST, UI_HGHOST = range(6)
 GHOST = 1e-30
 SNAP = 1e-14
+# Fixed value: mean thickness of ice, in metres, where nothing states it.
+MEAN_THICKNESS = 264.7
 
 
 def budget_fill(cells: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def land_fractions(cells: DataFrame) -> DataFrame:
     return out.withColumn("fgrnd", s(1 - F.col("focean") - F.col("flake") - F.col("fgice")))
 
 
-def ice_thickness(cells: DataFrame, total: float = 264.7) -> DataFrame:
+def ice_thickness(cells: DataFrame, total: float = MEAN_THICKNESS) -> DataFrame:
     """``thick = c * rgice ** 0.3`` on ``(idx, area, fgice, rgice)``, the one constant ``c`` making the area mean over ice ``total``."""
     on = (F.col("fgice") > 0) & (F.col("rgice") > 0)
     law = F.when(on, F.pow("rgice", F.lit(0.3))).otherwise(0.0)

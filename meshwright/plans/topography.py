@@ -44,17 +44,29 @@ def half_degree(fgice: DataFrame, g: HntrSpec, half: HntrSpec) -> DataFrame:
     return regrid(fgice.select("idx", F.col("fgice").alias("value"), F.lit(1.0).alias("weight")), half, g, mean_polar=True)
 
 
+# Where lakes are not kept. Rows whose northern edge lies over the first latitude and up to the second,
+# in columns whose eastern edge lies over the first longitude and up to the second; degrees.
+NO_LAKES = ((-91.0, -60.0, -181.0, 180.0), (78.0, 90.0, -181.0, 180.0), (74.0, 90.0, -181.0, 0.0))
+# In southern Greenland: rows from 60 to 75 N, columns east of 60 W up to an edge that rises by three quarters of a
+# column a row, counted from three tenths of all rows.
+GREENLAND_LAKES, EDGE_START, EDGE_RISE = (60.0, 75.0, -60.0), 0.3, 0.75
+# Fixed value: mean thickness of ice, in metres, where nothing states it.
+MEAN_THICKNESS = 264.7
+
+
 def no_lakes(idx: Column, g: HntrSpec) -> Column:
     """Where lakes are not kept: poleward of 60 S and 78 N, west of Greenwich beyond 74 N, southern Greenland."""
-    j, i = _row(idx, g) + 1, F.pmod(idx, F.lit(g.im)) + 1
-    south, north = j <= g.jm // 6, j > g.jm * 14 // 15
-    west = (i <= g.im // 2) & (j > g.jm * 41 // 45)
-    edge = F.floor((j - g.jm * 0.3) * (0.75 * g.im / g.jm) + 0.5)
-    greenland = (j >= g.jm * 5 // 6) & (j <= g.jm * 11 // 12) & (i > g.im // 3) & (i <= edge)
-    return south | north | west | greenland
+    row, col = _row(idx, g) + 1, F.pmod(idx, F.lit(g.im)) + 1
+    north, east, eps = row * (180.0 / g.jm) - 90, col * (360.0 / g.im) - 180, 1e-9
+    s, n, w = GREENLAND_LAKES
+    edge = F.floor((row - g.jm * EDGE_START) * (EDGE_RISE * g.im / g.jm) + 0.5)
+    out = (north >= s - eps) & (north <= n + eps) & (east > w + eps) & (col <= edge)
+    for lat0, lat1, lon0, lon1 in NO_LAKES:
+        out = out | ((north > lat0 + eps) & (north <= lat1 + eps) & (east > lon0 + eps) & (east <= lon1 + eps))
+    return out
 
 
-def make_topoo(fine: DataFrame, lakes: DataFrame, g: HntrSpec, lake_grid: HntrSpec, ocean: HntrSpec, overrides: DataFrame | None = None, lake_levels: DataFrame | None = None, total_ice: float = 264.7) -> DataFrame:
+def make_topoo(fine: DataFrame, lakes: DataFrame, g: HntrSpec, lake_grid: HntrSpec, ocean: HntrSpec, overrides: DataFrame | None = None, lake_levels: DataFrame | None = None, total_ice: float = MEAN_THICKNESS) -> DataFrame:
     """Topography on the ocean grid, one row a cell.
 
     ``fine (idx, focean, fgice, zicetop, zsolg)`` on a grid that nests in the ocean
@@ -78,7 +90,7 @@ def make_topoo(fine: DataFrame, lakes: DataFrame, g: HntrSpec, lake_grid: HntrSp
     ice = F.when(pole, 1.0).when(F.col("focean") == 1, 0.0).otherwise(F.coalesce(F.try_divide("fgicef", 1 - F.col("foceanf")), F.lit(0.0)))
     lake = F.when(no_lakes(F.col("idx"), ocean), 0.0).otherwise(F.coalesce("lake", F.lit(0.0)))
     cont, contf = 1 - F.col("focean"), 1 - F.col("foceanf")
-    x = x.withColumns({"fgice": F.least(F.greatest(ice, F.lit(0.0)), F.lit(1.0)), "flake": F.when(contf != 0, F.round(lake * cont / (contf + 1e-20) * 256) / 256).otherwise(lake)})
+    x = x.withColumns({"fgice": F.least(F.greatest(ice, F.lit(0.0)), F.lit(1.0)), "flake": F.when(contf != 0, F.round(F.try_divide(lake * cont, contf) * 256) / 256).otherwise(lake)})
     x = x.withColumn("flake", F.greatest(F.lit(0.0), F.least(F.col("flake"), 1 - F.col("fgice") - F.col("focean"))))
     rest = 1 - F.col("focean") - F.col("flake") - F.col("fgice")
     x = x.withColumn("fgrnd", F.when(F.abs(rest) < topo.SNAP, 0.0).otherwise(rest)).withColumn("dzocen", -F.col("zsolg_focean") * F.col("focean"))
@@ -97,7 +109,7 @@ def make_topoo(fine: DataFrame, lakes: DataFrame, g: HntrSpec, lake_grid: HntrSp
 def _thickness(x: DataFrame, g: HntrSpec, total: float) -> DataFrame:
     """``dzgice``: the ice top less the ground where they differ, elsewhere the one-constant law in the share of land that is ice."""
     own = F.col("zicetop_fgice") - F.col("zsolg_fgice")
-    x = x.withColumns({"own": own, "law": F.pow(F.col("fgice") / (1 - F.col("focean") + 1e-20), F.lit(0.3))})
+    x = x.withColumns({"own": own, "law": F.pow(F.coalesce(F.try_divide(F.col("fgice"), 1 - F.col("focean")), F.lit(0.0)), F.lit(0.3))})
     area = F.when(F.col("own") == 0, cell_area(F.col("idx"), g) * F.col("fgice")).otherwise(0.0)
     c = x.agg(F.coalesce(F.try_divide(F.sum(area) * total, F.sum(area * F.col("law"))), F.lit(0.0)).alias("c"))
     return x.join(F.broadcast(c)).withColumn("dzgice", F.when(F.col("fgice") == 0, 0.0).when(F.col("own") != 0, F.col("own")).otherwise(F.col("c") * F.col("law"))).drop("own", "law", "c")
