@@ -55,7 +55,7 @@ _FINE_AREA = f"2 * pi() / {_FINE.im} * (sin(pi() / {_FINE.jm} * (idx // {_FINE.i
 _TOPOO = ("focean", "flake", "fgrnd", "fgice", "zatmo", "dzocen", "dzlake", "dzgice", "zsoldg", "zicetop", "zsglo", "zlake", "zgrnd", "zsghi", "foceanf", "fgicef", "zatmof")
 
 
-@query(f"""WITH r AS ({_RAW}), p AS ({pairs_sql(A16, _FINE)}), lk AS (SELECT CAST(k AS BIGINT) AS idx, CASE WHEN k // 16 IN (0, 7) THEN avg(k % 9 / 30.0::DOUBLE) OVER (PARTITION BY k // 16) ELSE k % 9 / 30.0::DOUBLE END AS v FROM range({A16.size}) t(k)),
+@query(f"""WITH r AS (SELECT * REPLACE (fgice * 0.9371 AS fgice) FROM ({_RAW})), p AS ({pairs_sql(A16, _FINE)}), lk AS (SELECT CAST(k AS BIGINT) AS idx, CASE WHEN k // 16 IN (0, 7) THEN avg(k % 9 / 30.0::DOUBLE) OVER (PARTITION BY k // 16) ELSE k % 9 / 30.0::DOUBLE END AS v FROM range({A16.size}) t(k)),
   x AS (SELECT a.idx, a.idx // 16 AS j, a.idx % 16 AS i, a.v AS ff, g.v AS g0, zo.v AS zo, ti.v AS ti, si.v AS si, lk.v AS lk FROM {_weighted('focean', '1')} a JOIN {_weighted('fgice', '1')} g USING (idx) JOIN {_weighted('zsolg', 'focean')} zo USING (idx) JOIN {_weighted('zicetop', 'fgice')} ti USING (idx) JOIN {_weighted('zsolg', 'fgice')} si USING (idx) JOIN lk USING (idx)),
   y AS (SELECT *, CASE WHEN j > 0 AND idx % 10 <> 3 AND ff >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS fo, CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE g0 END AS gf, CASE WHEN j IN (0, 7) OR j = 6 AND i IN (5, 6) THEN 0.0::DOUBLE ELSE lk END AS lake FROM x),
   y2 AS (SELECT *, CASE WHEN j = 0 THEN 1.0::DOUBLE WHEN fo = 1 THEN 0 ELSE least(greatest(coalesce(gf / nullif(1 - ff, 0), 0), 0), 1) END AS ice FROM y),
@@ -67,7 +67,7 @@ _TOPOO = ("focean", "flake", "fgrnd", "fgice", "zatmo", "dzocen", "dzlake", "dzg
     WINDOW w AS (PARTITION BY block ORDER BY depth, area ROWS UNBOUNDED PRECEDING), w0 AS (PARTITION BY block ORDER BY depth, area)),
   k AS (SELECT block, arg_min(depth, n) AS zl, arg_min(an, n) AS an, arg_min(vn, n) AS vn FROM l JOIN y4 ON idx = block WHERE an > sa * fl OR n = last GROUP BY 1),
   g AS (SELECT block, arg_min(depth, n) AS zg FROM l JOIN y4 ON idx = block WHERE an > sa * (fl + fg) OR n = last GROUP BY 1),
-  s AS (SELECT block, any_value(sa) AS sa, any_value(sz) AS sz, min(depth) AS lo, max(depth) AS hi, sum(area * depth) FILTER (WHERE icy = 1) / sum(area) FILTER (WHERE icy = 1) AS zi FROM l GROUP BY block), aa AS (SELECT block, sum(area) AS aa FROM f GROUP BY block),
+  s AS (SELECT block, any_value(sa) AS sa, any_value(sz) AS sz, min(depth) AS lo, max(depth) AS hi, sum(area * depth) FILTER (WHERE icy <> 0) / sum(area) FILTER (WHERE icy <> 0) AS zi FROM l GROUP BY block), aa AS (SELECT block, sum(area) AS aa FROM f GROUP BY block),
   z AS (SELECT y4.*, c, -zo * fo AS dzo, fo < 1 AND sa IS NOT NULL AS dry, sa, sz, zl, an, vn, zg, lo, hi, zi, aa, CASE WHEN idx % 7 = 2 THEN 1000.0::DOUBLE + idx END AS level FROM y4, cc LEFT JOIN k ON k.block = idx LEFT JOIN g ON g.block = idx LEFT JOIN s ON s.block = idx LEFT JOIN aa ON aa.block = idx),
   z2 AS (SELECT *, CASE WHEN dry THEN zl ELSE 0 END AS zlake0, CASE WHEN dry AND fl > 0 THEN greatest(zl - (vn - (an - sa * fl) * zl) / (sa * fl), 1) ELSE 0 END AS dzl, max(fo) OVER (PARTITION BY j // 2, i // 2) > 0 AND fl > 0 AS gone FROM z)
   SELECT CAST(idx AS BIGINT) AS idx, CAST(j AS INT) AS j, CAST(i AS INT) AS i, fo AS focean, round(CASE WHEN gone THEN 0 ELSE fl END, 6) AS flake, round(CASE WHEN gone THEN fg + fl ELSE fg END, 6) AS fgrnd, round(ice, 6) AS fgice, round(coalesce(level, CASE WHEN dry THEN (an * zl + sz - vn) / sa ELSE 0 END), 6) AS zatmo, round(dzo, 6) + 0 AS dzocen,
@@ -79,7 +79,9 @@ def topoo_whole(spark: SparkSession, sf: str) -> DataFrame:
     lakes = spark.range(A16.size).select(k.alias("idx"), (F.pmod("id", F.lit(9)) / 30.0).alias("flake"))
     to = spark.range(A16.size).filter("id % 10 = 3").select(k.alias("idx"), F.lit("land").alias("to"))
     levels = spark.range(A16.size).filter("id % 7 = 2").select(k.alias("idx"), (k + 1000.0).alias("elev"))
-    return rounded(topography.make_topoo(_raw(spark, sf), lakes, _FINE, A16, A16, to, levels), *_TOPOO)
+    # ice that is no whole number of cells, or the ground would end exactly at one
+    fine = _raw(spark, sf).withColumn("fgice", F.col("fgice") * 0.9371)
+    return rounded(topography.make_topoo(fine, lakes, _FINE, A16, A16, to, levels), *_TOPOO)
 
 
 @query(f"""WITH f AS (SELECT CAST(k AS BIGINT) AS idx, 0.0::DOUBLE AS focean, (k % 4) * 10 AS thickness, coalesce(p_retailprice, 0) AS elev, k % 5 = 0 AS greenland, k // 64 AS j, k % 64 AS i FROM range({_FINE.size}) t(k) LEFT JOIN {_PRICES} ON p_partkey = k),
