@@ -37,6 +37,15 @@ class SheetMatrices:
         classed = (elevation.bracket if style == "z" else elevation.nearest)(self.f, hcdefs)
         self.g = classed.select("X", "A", "I", (F.col("ihc").cast("long") * n_a + F.col("A")).alias("E"), (F.col("area") * F.col("w")).alias("area"))
 
+    def store(self, path: str) -> SheetMatrices:
+        """Write both fact tables, and build all matrices from them: exchange, mask and classes are then joined once only."""
+        spark = self.f.sparkSession
+        for name in ("f", "g"):
+            df = getattr(self, name)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+            setattr(self, name, spark.read.schema(df.schema).parquet(f"{path}/{name}"))
+        return self
+
     def ur(self, spec: str) -> DataFrame:
         """The unscaled entries ``(row, col, val)`` of a matrix, before any correction."""
         b, a = spec.split("v")

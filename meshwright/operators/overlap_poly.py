@@ -78,16 +78,18 @@ def exchange_grid(a: DataFrame, i: DataFrame, tile: float | None = None, tiny: f
 
     Each cell goes to all tiles that its box touches, the join is on tiles, and a
     pair is taken only in the tile that holds the corner where both boxes begin, so
-    none comes twice. ``tile`` is the tiles' size, by default the largest extent of
-    a cell of the finer grid times four. Cells may be concave; with ``rings`` a pair of
+    none comes twice. ``tile`` is the tiles' size, by default four times the extent
+    that nine tenths of the finer grid's cells don't exceed. Cells may be concave; with ``rings`` a pair of
     two concave cells raises. Overlaps up to ``tiny`` times the smaller cell are dropped.
     """
     reachable(a.sparkSession)
     a = a.select(F.col("cell_id").alias("a_id"), F.col("ring").alias("ra"), geometry.box(F.col("ring")).alias("ba"))
     i = i.select(F.col("cell_id").alias("i_id"), F.col("ring").alias("ri"), geometry.box(F.col("ring")).alias("bi"))
     if tile is None:
-        widest = i.agg(F.max(F.greatest(F.col("bi.x1") - F.col("bi.x0"), F.col("bi.y1") - F.col("bi.y0"))).alias("w")).first()["w"]
-        tile = 4 * float(widest or 1.0) or 1.0
+        extent = F.greatest(F.col("bi.x1") - F.col("bi.x0"), F.col("bi.y1") - F.col("bi.y0"))
+        usual, widest = i.agg(F.percentile_approx(extent, 0.9).alias("q"), F.max(extent).alias("w")).first()
+        # a few large cells take several tiles each, rather than making the tiles of all others coarse
+        tile = max(4 * float(usual or 0.0), float(widest or 0.0) / 16) or 1.0
     t = lambda c: F.floor(c / tile).cast("long")
     tiled = lambda df, b: df.withColumn("tx", F.explode(F.sequence(t(F.col(f"{b}.x0")), t(F.col(f"{b}.x1"))))).withColumn("ty", F.explode(F.sequence(t(F.col(f"{b}.y0")), t(F.col(f"{b}.y1")))))
     pairs = tiled(a, "ba").join(tiled(i, "bi"), ["tx", "ty"])

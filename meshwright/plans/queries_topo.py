@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grids import HntrSpec
 from ..operators import coo, merging, ocean, topo
+from ..operators.matrices import SPECS
 from ..sources import fortran
+from ..sources.tables import shared_path
 from ..streaming import contract, coupling
 from .queries_grid import pairs_sql
 from .queries_matrix import FACTS
@@ -271,6 +275,31 @@ def global_ec(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(coo.scale(m.M, m.wM, "row"), "val", digits=9)
 
 
+def _global_sql() -> str:
+    """All matrices of the raster by their definition: sums over cells, or over cells and their classes, scaled by row."""
+    key = {"A": "o", "E": f"ihc * {A16.size} + o", "I": "idx", "X": "idx"}
+    parts = []
+    for spec in SPECS:
+        b, a = spec.split("v")
+        u = f"SELECT {key[b]} AS row, {key[a]} AS col, sum({'v' if 'E' in spec else 'area'}) AS v FROM {'w' if 'E' in spec else 'f'} GROUP BY 1, 2"
+        parts.append(f"SELECT '{spec}' AS spec, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(v / sum(v) OVER (PARTITION BY row), 9) AS val FROM ({u})")
+    return f"""WITH i AS (SELECT p_partkey % {_FINE64.size} AS idx, max(p_retailprice) * 0.999983217 AS elev FROM part GROUP BY 1), h AS (SELECT CAST(k AS INT) AS ihc, 400.0::DOUBLE * k AS h FROM range(7) t(k)),
+      f AS (SELECT idx, elev, (idx // 64) // 4 * 16 + (idx % 64) // 4 AS o, 2 * pi() / 64 * (sin(pi() / 32 * (idx // 64 + 1 - 16)) - sin(pi() / 32 * (idx // 64 - 16))) AS area FROM i),
+      w AS (SELECT * FROM (SELECT o, idx, ihc + d AS ihc, area * CASE d WHEN 0 THEN 1 - (elev - h) / 400 ELSE (elev - h) / 400 END AS v FROM f, h, (VALUES (0), (1)) t(d) WHERE ihc < 6 AND elev > h AND elev <= h + 400) WHERE v <> 0)
+      {' UNION ALL '.join(parts)}"""
+
+
+@query(_global_sql())
+def global_ec_matrices(spark: SparkSession, sf: str) -> DataFrame:
+    """All ten matrices of a raster that nests in the ocean grid, from facts stored once."""
+    from .regridder import global_classes
+
+    ice = load(spark, sf, "part").groupBy(F.pmod("p_partkey", F.lit(_FINE64.size)).alias("idx")).agg((F.max("p_retailprice") * 0.999983217).alias("elev"))
+    own = global_classes(ice, _FINE64, A16, HCDEFS, path=shared_path(spark, "global"))
+    parts = [m.M.select(F.lit(s).alias("spec"), "row", "col", "val") for s, m in own.items()]
+    return rounded(reduce(DataFrame.union, parts), "val", digits=9)
+
+
 # -- coupling -----------------------------------------------------------------------------------------------------------
 _X = "SELECT CAST(event_id % 60 AS BIGINT) AS row, user_id % 12 AS col, sum(1.0::DOUBLE + event_id % 3) AS val FROM events WHERE event_id % 2 = {p} GROUP BY 1, 2"
 

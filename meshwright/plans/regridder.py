@@ -205,12 +205,13 @@ class MismatchedRegridder:
         return WeightedMatrix(coo.scale(m, wm, "row", invert=True) if scale else m, wm, mw, True, scale)
 
 
-def global_classes(ice: DataFrame, fine: HntrSpec, ocean_grid: HntrSpec, hcdefs: list[float], style: str = "z") -> dict[str, WeightedMatrix]:
+def global_classes(ice: DataFrame, fine: HntrSpec, ocean_grid: HntrSpec, hcdefs: list[float], style: str = "z", path: str | None = None) -> dict[str, WeightedMatrix]:
     """All matrices of a global raster of ice, ``(idx, elev)`` on the fine grid, in one plan.
 
     The fine grid must nest in the ocean grid, so the exchange is an integer
     division. What takes chunks and a merge of their files elsewhere is one partial
-    and final aggregation here.
+    and final aggregation here. With a ``path`` the facts are stored there once, for
+    those who read several of the ten matrices.
     """
     from ..operators.overlap_ll import nested_parent
 
@@ -226,6 +227,8 @@ def global_classes(ice: DataFrame, fine: HntrSpec, ocean_grid: HntrSpec, hcdefs:
     native = (F.sin((row + 1 - ocean_grid.jm / 2) * do) - F.sin((row - ocean_grid.jm / 2) * do)) * (2 * math.pi / ocean_grid.im)
     areas = spark.range(ocean_grid.size).select(F.col("id").alias("a_id"), native.alias("native_area"), native.alias("proj_area"))
     m = SheetMatrices(x, ice.select(F.col("idx").alias("i_id"), "elev"), areas, hcdefs, ocean_grid.size, style, RegridParams(True, False))
+    if path is not None:
+        m.store(path)
     return {s: m.matrix(s) for s in SPECS}
 
 

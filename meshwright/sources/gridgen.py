@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.grids import LonLatSpec, XYSpec
+from .tables import shared_path
 
 
 def _edges(values: tuple[float, ...]) -> Column:
@@ -81,15 +82,18 @@ def cells_of(cells: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
 def number_vertices(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rings with vertex numbers in the order of (x, y), equal points being one vertex; and ``(vid, x, y)``.
 
-    Points are numbered by range: the rows of smaller ranges are counted first, so
-    no task sees all vertices.
+    Points are sorted over range partitions and stored; the rows of partitions before
+    are counted first, so no task sees all vertices, however they lie.
     """
+    order = ("x", "y")
     pts = cells.select(F.explode("ring").alias("v")).select("v.x", "v.y").distinct()
-    block = F.floor("x")
-    sums = pts.groupBy(block.alias("b")).agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("b").orderBy("x", "y")) - 1
-    numbered = pts.withColumn("b", block).withColumn("k", inside).join(sums.withColumn("ahead", ahead).drop("n"), "b").select((F.col("ahead") + F.col("k")).cast("long").alias("vid"), "x", "y")
+    path = shared_path(cells.sparkSession, "vertices")
+    pts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    pts = cells.sparkSession.read.parquet(path)
+    sums = pts.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    numbered = pts.withColumn("k", inside).join(sums.withColumn("ahead", ahead).drop("n"), "part").select((F.col("ahead") + F.col("k")).cast("long").alias("vid"), "x", "y")
     flat = cells.select("cell_id", F.posexplode("ring").alias("pos", "v")).select("cell_id", "pos", "v.x", "v.y").join(numbered, ["x", "y"])
     rings = flat.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("pos", "vid", "x", "y"))).alias("r"))
     rings = rings.select("cell_id", F.transform("r", lambda p: F.struct(p["vid"].alias("vid"), p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))

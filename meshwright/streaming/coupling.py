@@ -162,7 +162,7 @@ class Coupler:
             keep("ice", ice)
             outputs = keep("outputs", outputs)
             elev = outputs.select(F.col("idx").alias("i_id"), F.col(s.elevation).alias("elev")).filter("elev is not null")
-            m = SheetMatrices(s.exchange, elev, s.areas, s.hcdefs, s.n_a, s.style)
+            m = SheetMatrices(s.exchange, elev, s.areas, s.hcdefs, s.n_a, s.style).store(f"{self.path}/facts/step={step}/sheet={s.name}")
             raw, corrected = RegridParams(False, False), RegridParams(False, True)
             parts["E"].append(to_gcm(m.matrix("EvI", raw), outputs, s.back, scalars))
             parts["A"].append(to_gcm(m.matrix("AvI", corrected), outputs, s.back, scalars))
