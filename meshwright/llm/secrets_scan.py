@@ -57,17 +57,28 @@ def _quoted(text: str) -> str:
 SPAN = "array<struct<start:int,end:int,found:string>>"
 
 
+BLOCK = 512
+
+
 def _located(text: str, pattern: str) -> Column:
-    """SQL: the (start, end, found) of all matches of a pattern in a column, in order, in code points, end exclusive."""
+    """SQL: the (start, end, found) of all matches of a pattern in a column, in order, in code points, end exclusive.
+
+    Gaps and matches are added up by blocks first, then within each block, so that
+    no array grows by one element at a time over a very long text.
+    """
     p = _quoted(pattern)
+    length = "length(x['0']) + coalesce(length(x['1']), 0)"
+    inside = f"""aggregate(k, named_struct('at', get(starts, i), 'out', cast(array() as {SPAN})), (a, x) -> named_struct(
+          'at', a.at + {length},
+          'out', CASE WHEN x['1'] IS NULL THEN a.out ELSE concat(a.out, array(named_struct('start', a.at + length(x['0']), 'end', a.at + {length}, 'found', x['1']))) END), a -> a.out)"""
+    starts = f"""aggregate(blocks, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, k) -> named_struct(
+          'at', a.at + aggregate(k, 0, (n, x) -> n + {length}), 'out', concat(a.out, array(a.at))), a -> a.out)"""
     return F.expr(f"""
-      CASE WHEN {text} RLIKE {p} THEN aggregate(
-        arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0)),
-        named_struct('at', 0, 'out', cast(array() as {SPAN})),
-        (a, x) -> named_struct(
-          'at', a.at + length(x['0']) + coalesce(length(x['1']), 0),
-          'out', CASE WHEN x['1'] IS NULL THEN a.out ELSE concat(a.out, array(named_struct('start', a.at + length(x['0']), 'end', a.at + length(x['0']) + length(x['1']), 'found', x['1']))) END),
-        a -> a.out) ELSE cast(array() as {SPAN}) END""")
+      CASE WHEN {text} RLIKE {p} THEN
+        get(transform(array(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))), z ->
+        get(transform(array(transform(sequence(0, (size(z) - 1) div {BLOCK}), b -> slice(z, cast(b * {BLOCK} + 1 as int), {BLOCK}))), blocks ->
+        get(transform(array({starts}), starts -> flatten(transform(blocks, (k, i) -> {inside}))), 0)), 0)), 0)
+      ELSE cast(array() as {SPAN}) END""")
 
 
 KINDS_OF = ("ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "abcdef", "ghijklmnopqrstuvwxyz", "0123456789", "+/_=-")

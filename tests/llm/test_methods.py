@@ -210,13 +210,14 @@ def test_secrets_in_very_long_texts(spark):
     """Texts that would overflow the stack of a matcher that recurses."""
     rng = random.Random(1)
     hexes, base64 = ("".join(rng.choices(a, k=1 << 20)) for a in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
-    texts = ["ab/" * 350000, "a-b_" * 262144, "=" * (1 << 20), "a-" * 500000 + "a", "token=" + "a." * 500000, "AKIA" + "A1" * 500000, hexes, base64]
+    texts = ["ab/" * 350000, "a-b_" * 262144, "=" * (1 << 20), "a-" * 500000 + "a", "token=" + "a." * 500000, "AKIA" + "A1" * 500000, hexes, base64, "x deadbeefdeadbeefdeadbeef" * 30000]
     rows = sorted(secrets_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect())
     span = lambda r, name: [(x["start"], x["end"]) for x in r[name]]
     assert [span(r, "entropy") for r in rows[:4]] == [[]] * 4
     assert span(rows[4], "assign") == [(0, 1000006)] and span(rows[5], "access") == [(0, 1000004)]
     assert span(rows[6], "hex") == [(0, 1 << 20)] and span(rows[6], "entropy")[0][1] > 1000000
     assert span(rows[7], "entropy")[0][0] < 100 and len(rows[7]["entropy"]) == 1
+    assert span(rows[8], "hex") == [(26 * k + 2, 26 * k + 26) for k in range(30000)]
 
 
 def test_secrets_are_brute_force_s(spark):
