@@ -15,6 +15,7 @@ and the documents never shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .tokens import NOT_ALNUM, WordBatch, mix64
 
 MASKS = ("11101011", "11001111")
 WINDOW, MISSES = 13, 2
+#: Shorter items are common phrases, and no reason to remove a document.
+LEAST_WORDS = 5
 HITS = "doc_id:long item_id:long n_words:long n_covered:long"
 
 
@@ -109,37 +112,44 @@ def item_words(texts: pa.Array) -> list[np.ndarray]:
     return [batch.hash[a:b] for a, b in zip(batch.first[:-1], batch.first[1:], strict=True)]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> Iterator:
-    """Broadcasts of (item ids, item words), a block of the benchmark at a time."""
+class Items:
+    """A block of the benchmark; each Python worker builds its index once."""
+
+    def __init__(self, names: list, words: list[np.ndarray], least_words: int) -> None:
+        own = [k for k, w in enumerate(words) if len(w) >= least_words]
+        self.names, self.words = [names[k] for k in own], [words[k] for k in own]
+
+    @cached_property
+    def index(self) -> SeedIndex:
+        return SeedIndex(np.arange(len(self.names)), self.words)
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int, least_words: int) -> Iterator:
+    """Broadcasts of Items, a block of the benchmark at a time."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item"), F.coalesce(benchmark[item_text_col], F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (2 * block_words)))  # a word takes two bytes at least
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").toArrow().combine_chunks()
-        yield docs.sparkSession.sparkContext.broadcast((own.column("item").to_pylist(), item_words(own.column("text").cast(pa.string()))))
-
-
-def _index(shared) -> tuple[list, SeedIndex]:
-    names, words = shared.value
-    return names, SeedIndex(np.arange(len(names)), words)
+        yield docs.sparkSession.sparkContext.broadcast(Items(own.column("item").to_pylist(), item_words(own.column("text").cast(pa.string())), least_words))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1 << 20) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1 << 20, least_words: int = 1) -> DataFrame:
     """The documents that hold part of a benchmark item: ``doc_id, item_id, n_words, n_covered``.
 
     Words are runs of ASCII letters and digits, in lower case, and of characters
     beyond ASCII. A document holds part of an item if, at some offset, 11 of 13
     consecutive words of both are equal; an item of fewer than 13 words must stand
-    there whole. ``n_covered`` counts the item's words in such windows. Null and
+    there whole, and items below ``least_words`` count for nothing. ``n_covered`` counts the item's words in such windows. Null and
     empty texts hold nothing, on either side; null ids come back null; repeated
     rows come back once each, repeated items once. Other columns are ignored.
     """
     thin = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     out = None
-    for shared in _blocks(docs, benchmark, item_col, item_text_col, block_words):
+    for shared in _blocks(docs, benchmark, item_col, item_text_col, block_words, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, index = _index(shared)
+            names, index = shared.value.names, shared.value.index
             for piece in pieces(batches, "text"):
                 rows = list(index.hits(WordBatch(piece.column(1), lower=True, apart=NOT_ALNUM)))
                 if rows:
@@ -151,18 +161,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1 << 20) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1 << 20, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``overlaps`` finds nothing in; no shuffle, one pass a block.
 
-    What a block leaves is written before the next one begins. Null, empty and very
+    Items of fewer than ``least_words`` words remove nothing. What a block leaves is
+    written before the next one begins. Null, empty and very
     long texts, repeated rows, empty tables and other columns are as in ``overlaps``.
     """
     rows = docs.select(docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    for k, shared in enumerate(_blocks(docs, benchmark, item_col, item_text_col, block_words)):
+    for k, shared in enumerate(_blocks(docs, benchmark, item_col, item_text_col, block_words, least_words)):
         rows = scratch(rows, "clean") if k else rows
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            _, index = _index(shared)
+            index = shared.value.index
             for piece in pieces(batches, "text"):
                 clean = np.ones(len(piece), dtype=bool)
                 clean[[r for r, *_ in index.hits(WordBatch(piece.column(0), lower=True, apart=NOT_ALNUM))]] = False

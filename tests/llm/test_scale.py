@@ -266,3 +266,34 @@ def test_what_a_stage_needed_goes_when_its_result_is_stored(spark):
     out = common.stored(spark, make, "outer")
     assert out.count() == 3 and not os.path.exists(made[0].scratch_path.removeprefix("file://"))
     common.discard(out)
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_components_either_way(spark, at_once):
+    from meshwright.llm import components
+
+    rng = random.Random(at_once)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(50)] + [(5, None), (7, 7), (2000, 2001), (2001, 2000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if v is not None and u != v:
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    got = components.components(spark.createDataFrame(edges, "u long, v long"), at_once=at_once).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(root))
+    assert components.components(spark.createDataFrame([], "u long, v long"), at_once=at_once).count() == 0
+
+
+def test_short_items_remove_nothing(spark):
+    from meshwright.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "the end of it"), (2, "one two three four five six"), (3, "else")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the end"), (2, "two three four five six")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).orderBy("doc_id").collect()] == [1, 3]
+    assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == [(1, 1, 2, 2), (2, 2, 5, 5)]
