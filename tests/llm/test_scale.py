@@ -77,15 +77,14 @@ def test_many_rows_without_an_id(spark):
     rows = [(None, f"{t}\n{line}\n{passage}") for t in own] + [(k, f"{own[k]} x\n{line}\n{passage}") for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = lines.dedup_lines(df).collect()
-    # the largest id keeps the line, rows without one lie below it
-    assert sorted(r["n_dropped"] for r in got) == [0] + [1] * 1505
+    # the largest id keeps both long lines, rows without one lie below it
+    assert sorted(r["n_dropped"] for r in got) == [0] + [2] * 1505
     assert {r["id"] for r in got if line in r["text"]} == {5}
     got = passages.remove_passages(df).collect()
     none = [r for r in got if r["id"] is None]
     # the smallest id keeps the passage; six of the texts stand in documents with an id as well
     assert len(none) == 1500 and {r["id"] for r in got if passage in r["text"]} == {0}
-    assert sorted(r["n_removed"] for r in none)[-6:] != [len(line.split()) + 40] * 6
-    assert all(r["n_removed"] >= 40 for r in none)
+    assert all(r["n_removed"] >= 40 for r in none) and sum(r["n_removed"] >= 100 for r in none) == 6
 
 
 @pytest.mark.parametrize("shard_chars", [300, 1 << 19])
