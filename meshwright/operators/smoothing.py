@@ -15,6 +15,10 @@ def smoothing_matrix(points: DataFrame, sigma: tuple[float, float, float], nsigm
     into one bucket of that size and looks into the 27 around it, an equi-join; a
     sigma of 0 leaves its axis out. With ``by_column`` the columns conserve mass
     instead: they sum to the area of their point.
+
+    Pairs are never shuffled, stored or broadcast: they are gone through twice, for
+    the sums, of which a task sends one a point, and for the entries. What is dealt
+    out are the points, 27 times one of the two sides.
     """
     axes = [(a, s) for a, s in zip("xyz", sigma, strict=True) if s > 0]
     if not axes:
@@ -24,14 +28,22 @@ def smoothing_matrix(points: DataFrame, sigma: tuple[float, float, float], nsigm
             raise ValueError("sigma can't be negative")
     cell = lambda p, a, s: F.floor(F.col(f"{p}.{a}") / (nsigma * s)).cast("long")
     good = points.withColumn("area", F.when(F.col("area") > 0, F.col("area")).otherwise(F.raise_error(F.lit("a point without area can't be smoothed")).cast("double")))
-    t = good.alias("t").select(F.col("t.idx").alias("col"), *(F.col(f"t.{a}").alias(f"t{a}") for a, _ in axes), F.col("t.area").alias("ta"), *(cell("t", a, s).alias(f"b{a}") for a, s in axes))
     moves = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for (a, _), d in zip(axes, m, strict=True))) for m in product((-1, 0, 1), repeat=len(axes))))
-    q = good.alias("q").select(F.col("q.idx").alias("row"), F.col("q.area").alias("qa"), *(F.col(f"q.{a}").alias(f"q{a}") for a, _ in axes), *(cell("q", a, s).alias(f"c{a}") for a, s in axes), F.explode(moves).alias("m"))
-    q = q.select("row", "qa", *(f"q{a}" for a, _ in axes), *((F.col(f"c{a}") + F.col(f"m.d{a}")).alias(f"b{a}") for a, _ in axes))
-    d2 = sum((F.pow((F.col(f"t{a}") - F.col(f"q{a}")) / s, 2) for a, s in axes), F.lit(0.0))
-    pairs = q.join(t, [f"b{a}" for a, _ in axes]).withColumn("d2", d2).filter(F.col("d2") < nsigma * nsigma)
-    raw = pairs.select("row", "col", (F.exp(-F.col("d2") / 2) * F.col("qa" if by_column else "ta")).alias("val"), "ta")
-    axis = "col" if by_column else "row"
-    total = raw.groupBy(axis).agg(F.sum("val").alias("total"))
-    scaled = F.col("val") / F.col("total") * (F.col("ta") if by_column else 1)
-    return raw.join(total, axis).select("row", "col", scaled.alias("val"))
+    near = [f"b{a}" for a, _ in axes]
+
+    def pairs(rows: DataFrame, cols: DataFrame) -> DataFrame:
+        """Both points' columns, those of rows with ``q`` before them and of cols with ``t``, and d2."""
+        t = cols.alias("t").select(*(F.col(f"t.{c}").alias(f"t{c}") for c in cols.columns), *(cell("t", a, s).alias(f"b{a}") for a, s in axes))
+        q = rows.alias("q").select(*(F.col(f"q.{c}").alias(f"q{c}") for c in rows.columns), *(cell("q", a, s).alias(f"c{a}") for a, s in axes), F.explode(moves).alias("m"))
+        q = q.select(*(f"q{c}" for c in rows.columns), *((F.col(f"c{a}") + F.col(f"m.d{a}")).alias(f"b{a}") for a, _ in axes))
+        d2 = sum((F.pow((F.col(f"t{a}") - F.col(f"q{a}")) / s, 2) for a, s in axes), F.lit(0.0))
+        return q.join(t.hint("merge"), near).withColumn("d2", d2).filter(F.col("d2") < nsigma * nsigma)
+
+    one = good.select("idx", "area", *(a for a, _ in axes))
+    axis, area = ("t", "qarea") if by_column else ("q", "tarea")
+    val = F.exp(-F.col("d2") / 2) * F.col(area)
+    total = pairs(one, one).groupBy(F.col(f"{axis}idx").alias("idx")).agg(F.sum(val).alias("total"))
+    summed = one.join(total.hint("merge"), "idx")
+    every = pairs(one, summed) if by_column else pairs(summed, one)
+    scaled = val / F.col(f"{axis}total") * (F.col("tarea") if by_column else 1)
+    return every.select(F.col("qidx").alias("row"), F.col("tidx").alias("col"), scaled.alias("val"))

@@ -271,3 +271,20 @@ def test_grid_helpers():
     for bad in (lambda: grids.split_shape((2, 3), 4), lambda: grids.parse_spec("E"), lambda: grids.matching_hntr(grids.lonlat_from_hntr(h), grids.HntrSpec(8, 4))):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_smoothing_shuffles_no_pairs(spark):
+    """Only points and sums by point are dealt out: each exchange is below the pairs' join, or of partial sums."""
+    pts = spark.createDataFrame([(k, k % 7 * 0.4, k % 5 * 0.4, k * 0.1, 1.0 + k % 3) for k in range(60)], "idx long, x double, y double, z double, area double")
+    want = {}
+    for p in pts.collect():
+        near = {q.idx: math.exp(-d2 / 2) * q.area for q in pts.collect() if (d2 := (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) < 4}
+        want |= {(p.idx, c): v / sum(near.values()) for c, v in near.items()}
+    for by_column in (False, True):
+        df = smoothing_matrix(pts, (1.0, 1.0, 1.0), by_column=by_column)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        top = plan[: plan.index("SortMergeJoin")]
+        assert "Exchange" not in top and "Broadcast" not in plan
+        assert "(exp" not in plan[plan.index("SortMergeJoin") :].lower().replace("sum((exp", "")
+        if not by_column:
+            assert {(r, c): v for r, c, v in rows(df)} == pytest.approx(want)
