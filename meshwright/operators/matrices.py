@@ -32,7 +32,8 @@ class SheetMatrices:
             raise ValueError(f"unknown interpolation style {style}")
         self.n_a, self.hcdefs, self.params = n_a, hcdefs, params or RegridParams()
         self.areas = areas
-        facts = exchange.filter("area > 0").join(elevmask.select("i_id", "elev"), "i_id")
+        # a mask of all cells grows with the grid, and files say little of its size in memory: it is never broadcast
+        facts = exchange.filter("area > 0").join(elevmask.select("i_id", "elev").hint("merge"), "i_id")
         self.f = facts.select(F.col("x_id").cast("long").alias("X"), F.col("a_id").cast("long").alias("A"), F.col("i_id").cast("long").alias("I"), F.col("area"), F.greatest(F.col("elev"), F.lit(0.0)).alias("elev"))
         classed = (elevation.bracket if style == "z" else elevation.nearest)(self.f, hcdefs)
         self.g = classed.select("X", "A", "I", (F.col("ihc").cast("long") * n_a + F.col("A")).alias("E"), (F.col("area") * F.col("w")).alias("area"))
