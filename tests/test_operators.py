@@ -288,3 +288,9 @@ def test_smoothing_shuffles_no_pairs(spark):
         assert "(exp" not in plan[plan.index("SortMergeJoin") :].lower().replace("sum((exp", "")
         if not by_column:
             assert {(r, c): v for r, c, v in rows(df)} == pytest.approx(want)
+
+
+def test_masks_are_never_broadcast(spark):
+    plan = sheet(spark).matrix("IvA").M._jdf.queryExecution().executedPlan().toString()
+    scans = plan.split("BroadcastExchange")[1:]
+    assert not any("elev" in x.split("Join")[0] for x in scans) and "SortMergeJoin [i_id" in plan
