@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm import decontaminate, langid, lines, mixing, nearcopies
-from meshwright.llm.common import HIGHEST, discard, scratch, stored
+from meshwright.llm.common import HIGHEST, discard, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own, digest = F.coalesce(docs["doc_id"].cast("long"), F.lit(HIGHEST)), F.md5(F.coalesce(docs["text"], F.lit("")))
     keyed = docs.select(own.alias("own"), digest.alias("digest"), docs["text"].alias("text"))
-    best = nearcopies.near_copies(keyed).groupBy("root").agg(F.min(F.struct("own", "digest")).alias("best"))
-    kept = scratch(best.select("best.own", "best.digest"), "kept")
+
+    def least() -> DataFrame:
+        best = nearcopies.near_copies(keyed).groupBy("root").agg(F.min(F.struct("own", "digest")).alias("best"))
+        return best.select("best.own", "best.digest")
+
+    kept = stored(spark, least, "kept")
     rows = docs.select(own.alias("own"), digest.alias("digest"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     first = F.row_number().over(Window.partitionBy("own", "digest").orderBy("own"))
     return rows.join(kept, ["own", "digest"], "left_semi").withColumn("nth", first).filter("nth = 1").select("row.*")

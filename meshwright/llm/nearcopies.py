@@ -1,20 +1,23 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 4/5.
 
-Two such texts share at least 4/5 of the shingles of each, so a text with fewer
-shingles that the twice-seen filter knows has no partner. The suspects left are
-put into one order of shingles, the once-seen first; the first fifth and one
-more of their sets, the prefix, always shares a shingle with that of a partner
-(prefix filtering). Candidates are members of one block, that is, with one
-prefix shingle; every link is verified on the whole sets.
-
-Only classes are asked for, so each member is held against one drawn member of
-its block, three times over, which links dense groups at a cost in proportion to
-them. In the blocks that still hold several classes, all pairs of at most SMALL
-members are verified, and each member of a larger one is held against HUBS more
-drawn ones. So the work is in proportion to the blocks, and no link is lost but
-of texts that, in every block they share with a partner, share it with many
-others, of which they are similar to few. Texts that ``op1_simhash`` links, by
-fingerprints of 3-word shingles at most two bits apart, are near copies as well.
+Two such texts share at least 4/5 of the shingles of each. Whatever the order of
+shingles, the first fifth and one more of their sets, the prefix, always shares
+a shingle with that of a partner (prefix filtering). The order puts those last
+that a sample of the texts holds twice, so frequent ones are seldom in a prefix;
+which texts are in the sample changes the work, not the result. Only prefixes
+are stored; filters by range leave those of their shingles that two texts have,
+and whole sets are computed for the texts that such a shingle joins to others.
+Candidates are members of one block, that is, with one prefix shingle.
+
+Only classes are asked for, so each member is first held against one drawn
+member of its block, three times over, which links dense groups at a cost in
+proportion to them. In the blocks that still hold several classes, of whatever
+size, all pairs of different classes are gone through. A pair needs its sets only
+if its sizes and its parity bitmaps allow the similarity: bit k of a bitmap says
+whether an odd number of shingles fall on k, so two of them differ in no more
+bits than their sets differ in shingles. Texts that
+``op1_simhash`` links, by fingerprints of 3-word shingles at most two bits
+apart, are near copies as well.
 
 Shingles and sets stand as 64-bit hashes.
 """
@@ -31,13 +34,16 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import arrow_map, discard, pieces, scratch
 from .components import components
-from .repeats import RepeatFilter, filter_bits, repeat_filter
+from .repeats import MAX_BITS, RepeatFilter, filter_bits, repeat_filter, suspected
 from .tokens import WordBatch, mix64, rolling
 
 WORDS = 5
 LEAST, OF = 4, 5  # the similarity, as a fraction: the prefix below is for 4/5
-DRAWS, HUBS, SMALL = 3, 8, 32
-SHINGLED = "own long, digest string, sig long, fp long, n int, shingles array<long>, prefix array<long>"
+DRAWS = 3
+ORDERED = MAX_BITS // 12  # shingles of the sample that the order is taken from
+LONGS = 16  # of a parity bitmap
+SHINGLED = "own long, digest string, sig long, fp long, n int, prefix array<long>"
+SETS = "sig long, n int, shingles array<long>, bits array<long>"
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,37 +70,91 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield shingle_sets(piece.column(0))[0]
 
 
-def _shingle(shared):
+def _signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mix64(value ^ np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
+    return mix64(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+
+
+def parities(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of LONGS for each set: whether an odd number of its shingles fall on each bit."""
+    wide, out = 64 * LONGS, []
+    slot = (mix64(value ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(wide)).astype(np.int64)
+    for at in range(0, len(first) - 1, 256):
+        own = first[at : at + 257]
+        row = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        odd = np.bincount(row * wide + slot[own[0] : own[-1]], minlength=wide * (len(own) - 1)) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(-1, wide), axis=1).view(np.int64))
+    return np.concatenate(out)
+
+
+def _shingle(shared, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = RepeatFilter(shared.value)
         for piece in pieces(batches, "text"):
             value, first = shingle_sets(piece.column(2))
-            n = np.diff(first)
-            sums, twice = np.zeros(len(value) + 1, np.uint64), np.zeros(len(value) + 1, np.int64)
-            hit = seen.test(value)
-            np.cumsum(mix64(value ^ np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
-            np.cumsum(hit, out=twice[1:])
-            sig = mix64(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
-            known = twice[first[1:]] - twice[first[:-1]]
+            n, hit = np.diff(first), seen.test(value)
             fp = [simhash.fingerprint(t) for t in piece.column(2).cast(pa.binary()).to_pylist()]
-            sets, prefixes = [None] * len(n), [None] * len(n)
-            for k in np.flatnonzero((n > 0) & (OF * known >= LEAST * n)):
-                part = slice(first[k], first[k + 1])
-                sets[k] = value[part].view(np.int64)
-                prefixes[k] = value[part][hit[part]][: n[k] // OF + 1 - (n[k] - known[k])].view(np.int64)
-            columns = [piece.column(0), piece.column(1), pa.array(sig.view(np.int64)), pa.array(fp, pa.int64()), pa.array(n.astype(np.int32))]
-            columns += [pa.array(x, pa.list_(pa.int64())) for x in (sets, prefixes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["own", "digest", "sig", "fp", "n", "shingles", "prefix"])
+            prefixes = [None] * len(n)
+            for k in np.flatnonzero(n):
+                own, often = value[first[k] : first[k + 1]], hit[first[k] : first[k + 1]]
+                length = n[k] // OF + 1
+                rare, often = own[~often][:length], own[often][: max(0, length - np.count_nonzero(~often))]
+                prefixes[k] = (often if whole else np.concatenate([rare, often])).view(np.int64)  # no other text has what the whole holds once
+            columns = [piece.column(0), piece.column(1), pa.array(_signatures(value, first)), pa.array(fp, pa.int64()), pa.array(n.astype(np.int32)), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["own", "digest", "sig", "fp", "n", "prefix"])
 
     return run
 
 
+def _sets(shared):
+    """The sets of the texts whose hashes the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = RepeatFilter(shared.value)
+        some = (b.filter(pa.array(asked.test(np.asarray(b.column(0)).view(np.uint64)))) for b in batches)
+        for piece in pieces(some, "text"):
+            value, first = shingle_sets(piece.column(1))
+            lists = [pa.ListArray.from_arrays(pa.array(f.astype(np.int32)), pa.array(v)) for f, v in ((first, value.view(np.int64)), (np.arange(len(first)) * LONGS, parities(value, first).reshape(-1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(_signatures(value, first)), pa.array(np.diff(first).astype(np.int32)), *lists], names=["sig", "n", "shingles", "bits"])
+
+    return run
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        sizes = np.asarray(b.column(1).value_lengths())
+        yield np.repeat(np.asarray(b.column(0)), sizes), np.asarray(b.column(1).flatten()).view(np.uint64)
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for b in batches:
+        yield np.repeat(np.asarray(b.column(0)).view(np.uint64), 2)
+
+
+def _near(a: str, b: str):
+    """The bitmaps ``a0, a1, ..`` and ``b0, b1, ..`` differ no more than similar sets of sizes ``na`` and ``nb`` do."""
+    apart = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(LONGS)), F.lit(0))
+    return (OF + LEAST) * apart <= (OF - LEAST) * (F.col(f"n{a}") + F.col(f"n{b}"))
+
+
+def _maps(sets: DataFrame, c: str) -> list:
+    return [sets["n"].alias(f"n{c}"), *(F.get("bits", F.lit(k)).alias(f"{c}{k}") for k in range(LONGS))]
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` whose sets are similar enough."""
+    for c in "uv":
+        pairs = pairs.join(sets.select(F.col("sig").alias(c), *_maps(sets, c)).hint("merge"), c)
+    near = scratch(pairs.filter(_near("u", "v")).select("u", "v"), "near")
+    pairs = near
     for c in "uv":
         pairs = pairs.join(sets.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")).hint("merge"), c)
     both = F.size(F.array_intersect("su", "sv"))
-    return pairs.filter((OF + LEAST) * both >= LEAST * (F.col("nu") + F.col("nv"))).select("u", "v")
+    out = scratch(pairs.filter((OF + LEAST) * both >= LEAST * (F.col("nu") + F.col("nv"))).select("u", "v"), "links")
+    discard(near)
+    return out
 
 
 def _fit(a: str, b: str):
@@ -125,21 +185,45 @@ def _rooted(blocks: DataFrame, links: list[DataFrame]) -> DataFrame:
     return left
 
 
-def near_copies(keyed: DataFrame) -> DataFrame:
+def _candidates(keyed: DataFrame, ordered: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows (own, digest, sig, fp)`` of all texts; ``sets`` of those with candidates; ``blocks (sig, n, block)``. All are scratch tables."""
+    spark = keyed.sparkSession
+    chars = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-(chars // 6) // ordered))
+    sample = keyed.filter(F.pmod(F.xxhash64("digest"), F.lit(parts)) == 0).select("digest", "text").dropDuplicates(["digest"])
+    shared = spark.sparkContext.broadcast(repeat_filter(sample.select("text"), _distinct, filter_bits(chars // 6 // parts)))
+    every = scratch(keyed.transform(arrow_map, _shingle(shared, parts == 1), SHINGLED), "shingled")
+    prefixes = scratch(every.filter(F.size("prefix") > 0).groupBy("sig").agg(F.min(F.struct("own", "digest")).alias("one"), F.first("prefix").alias("prefix")), "prefixes")
+    rows = scratch(every.select("own", "digest", "sig", "fp"), "rows")
+    discard(every)
+    expected = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    found = suspected(prefixes.select("sig", "prefix"), _prefixes, expected)
+    ones = scratch(prefixes.select("sig", F.xxhash64("one.own", "one.digest").alias("hash")), "ones")
+    discard(prefixes)
+    shares = found.groupBy("hash").agg(F.count("*").alias("members")).filter("members > 1").select("hash")
+    some = scratch(found.join(shares, "hash").select(F.col("key").alias("sig"), F.col("hash").alias("block")), "shares")
+    discard(found)
+    asked = scratch(ones.join(some.select("sig").distinct(), "sig").select("hash"), "asked")
+    known = spark.sparkContext.broadcast(repeat_filter(asked, _twice, filter_bits(asked.count())))
+    discard(ones, asked)
+    texts = keyed.select(F.xxhash64("own", "digest").alias("hash"), "text")
+    # a row may stand twice, and the filter knows a few texts that nobody asked for
+    sets = scratch(texts.transform(arrow_map, _sets(known), SETS).groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "bits"))), "sets")
+    blocks = scratch(some.join(sets.select("sig", "n").hint("merge"), "sig").select("sig", "n", "block"), "blocks")
+    discard(some)
+    return rows, sets, blocks
+
+
+def near_copies(keyed: DataFrame, ordered: int = ORDERED) -> DataFrame:
     """``(own, digest, text)`` to ``(own, digest, root)``, one row each: texts have one root if a chain of near copies joins them.
 
     Words are separated by ASCII white space, ASCII letters count as lower case. A
     text of less than five words has one shingle, all of it; null and empty texts
-    have none and are copies of each other.
+    have none and are copies of each other. ``ordered`` shingles at most are sampled
+    for the order, which the result does not depend on.
     """
     keyed = keyed.select("own", "digest", F.coalesce("text", F.lit("")).alias("text"))
-    chars = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    data = repeat_filter(keyed.select("text"), _distinct, filter_bits(chars // 6))
-    shared = keyed.sparkSession.sparkContext.broadcast(data)
-    rows = scratch(keyed.transform(arrow_map, _shingle(shared), SHINGLED), "shingled")
-    sets = scratch(rows.filter("shingles is not null").groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "prefix"))), "sets")
-    blocks = scratch(sets.select("sig", "n", F.explode("prefix").alias("block")), "blocks")
-    sets = sets.select("sig", "n", "shingles")
+    rows, sets, blocks = _candidates(keyed, ordered)
     links = [_fingerprint_links(rows)]
     left = blocks.withColumn("root", F.col("sig"))
     for draw in range(DRAWS):
@@ -147,22 +231,19 @@ def near_copies(keyed: DataFrame) -> DataFrame:
         hubs = scratch(left.groupBy("block").agg(drawn, F.count("*").alias("members")).filter("members > 1").select("block", "h.v", "h.m", "h.other"), "hubs")
         pairs = left.join(hubs, "block").filter("root <> other").filter(_fit("n", "m")).select(F.col("sig").alias("u"), "v").distinct()
         pairs = scratch(pairs, "pairs")
-        links.append(scratch(_similar(pairs, sets), "links"))
+        links.append(_similar(pairs, sets))
         discard(hubs, pairs)
+        if draw:
+            discard(left)
         left = _rooted(blocks, links)
-    left = scratch(left, "left")
-    few = F.col("members") <= SMALL
-    sizes = scratch(left.groupBy("block").agg(F.count("*").alias("members"), *(F.min(F.struct(F.xxhash64("sig", F.lit(DRAWS + k)).alias("x"), F.col("sig").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))).alias(f"h{k}") for k in range(HUBS))), "sizes")
-    hubs = sizes.filter(~few).select("block", F.explode(F.array(*(F.col(f"h{k}") for k in range(HUBS)))).alias("h")).select("block", "h.v", "h.m", "h.other").distinct()
-    drawn = left.join(hubs, "block").filter("root <> other").filter(_fit("n", "m")).select(F.col("sig").alias("u"), "v")
-    small = left.join(sizes.filter(few).select("block"), "block", "left_semi")
-    one, two = small.select("block", F.col("sig").alias("u"), F.col("n").alias("a"), F.col("root").alias("ru")), small.select("block", F.col("sig").alias("v"), F.col("n").alias("b"), F.col("root").alias("rv"))
-    every = one.join(two, "block").filter("ru < rv").filter(_fit("a", "b")).select("u", "v")
-    pairs = every.union(drawn).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = scratch(pairs, "pairs")
-    links.append(scratch(_similar(pairs, sets), "links"))
+    mapped = scratch(left.join(sets.select("sig", "bits").hint("merge"), "sig"), "mapped")
+    one, two = (mapped.select("block", F.col("sig").alias(c), F.col("root").alias(f"r{c}"), *_maps(mapped, c)) for c in "uv")
+    every = one.join(two.hint("merge"), "block").filter("ru < rv").filter(_fit("nu", "nv")).filter(_near("u", "v"))
+    found = scratch(every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "found")
+    discard(left, mapped)
+    links.append(_similar(found.distinct(), sets))
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
     roots = scratch(components(every).withColumnRenamed("node", "sig"), "roots")
-    return rows.select("own", "digest", "sig").join(roots, "sig", "left").select("own", "digest", F.coalesce("root", "sig").alias("root"))
+    return rows.join(roots, "sig", "left").select("own", "digest", F.coalesce("root", "sig").alias("root"))

@@ -6,7 +6,8 @@ from itertools import combinations
 
 import corpus_pipeline
 import pytest
-from meshwright.llm import simhash
+from meshwright.llm import nearcopies, simhash
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
@@ -78,3 +79,36 @@ def test_given_documents(spark):
     want, distinct = kept(rows)
     assert sorted(r.doc_id for r in stage(spark, rows).collect()) == want
     assert len(want) < distinct
+
+
+def grouped(rnd, size):
+    """Many texts of one common part, a third of them in pairs of near copies: they share their blocks with all others."""
+    common = [f"c{k}" for k in range(60)]
+    out = []
+    for k in range(size):
+        own = [f"w{k}x{j}" for j in range(rnd.choice((14, 15, 16, 17)))]
+        out.append(" ".join(common + own))
+        if k % 3 == 0:
+            out.append(" ".join([*common, *own[:-1], f"end{k}"]))
+    return out
+
+
+@pytest.mark.parametrize("ordered", [nearcopies.ORDERED, 300])
+def test_large_blocks_lose_no_partner(spark, ordered):
+    """The common part is more than 4/5 less two shingles, so blocks of 200 classes remain after all draws."""
+    rows = list(enumerate(grouped(random.Random(3), 150)))
+    want, _ = kept(rows)
+    docs = spark.createDataFrame([(i, "", t) for i, t in rows], "own long, digest string, text string").withColumn("digest", F.md5("text"))
+    got = nearcopies.near_copies(docs, ordered).groupBy("root").agg(F.min("own").alias("own")).collect()
+    assert sorted(r.own for r in got) == want
+    assert len(want) > 100
+
+
+def test_only_candidates_keep_their_sets(spark):
+    """Texts that share nothing with others are in no stored set, even where the order's sample is too small to tell."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**9)}" for _ in range(60))) for i in range(80)]
+    rows.append((100, rows[0][1] + " more"))
+    docs = spark.createDataFrame(rows, "own long, text string").withColumn("digest", F.md5("text"))
+    _, sets, blocks = nearcopies._candidates(docs.select("own", "digest", "text"), 300)
+    assert sets.count() == 2 and blocks.select("sig").distinct().count() == 2
