@@ -5,9 +5,10 @@ shingles, the first fifth and one more of their sets, the prefix, always shares
 a shingle with that of a partner (prefix filtering). The order puts those last
 that a sample of the texts holds twice, so frequent ones are seldom in a prefix;
 which texts are in the sample changes the work, not the result. Only prefixes
-are stored; filters by range leave those of their shingles that two texts have,
-and whole sets are computed for the texts that such a shingle joins to others.
-Candidates are members of one block, that is, with one prefix shingle.
+and bitmaps are stored; filters by range leave those of the prefixes' shingles
+that two texts have. Candidates are members of one block, that is, with one
+prefix shingle. A passage makes many blocks of the same members, and one of them
+stands for all.
 
 Only classes are asked for, so each member is first held against one drawn
 member of its block, three times over, which links dense groups at a cost in
@@ -15,7 +16,10 @@ proportion to them. In the blocks that still hold several classes, of whatever
 size, all pairs of different classes are gone through. A pair needs its sets only
 if its sizes and its parity bitmaps allow the similarity: bit k of a bitmap says
 whether an odd number of shingles fall on k, so two of them differ in no more
-bits than their sets differ in shingles. Texts that
+bits than their sets differ in shingles. A bitmap has a bit for each shingle at
+least, else those of long texts would allow everything; one half laid upon the
+other gives that of half the width. Whole sets are computed for the texts of the
+pairs that are left, and go once these are verified. Texts that
 ``op1_simhash`` links, by fingerprints of 3-word shingles at most two bits
 apart, are near copies as well.
 
@@ -41,9 +45,9 @@ WORDS = 5
 LEAST, OF = 4, 5  # the similarity, as a fraction: the prefix below is for 4/5
 DRAWS = 3
 ORDERED = MAX_BITS // 12  # shingles of the sample that the order is taken from
-LONGS = 16  # of a parity bitmap
-SHINGLED = "own long, digest string, sig long, fp long, n int, prefix array<long>"
-SETS = "sig long, n int, shingles array<long>, bits array<long>"
+LONGS = 16  # of the narrowest parity bitmap
+SHINGLED = "own long, digest string, sig long, fp long, n int, prefix array<long>, bits array<long>, wide array<long>"
+SETS = "sig long, n int, shingles array<long>"
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -77,18 +81,28 @@ def _signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix64(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def parities(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of LONGS for each set: whether an odd number of its shingles fall on each bit."""
-    wide, out = 64 * LONGS, []
+def parities(value: np.ndarray, first: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """A row of ``longs`` for each set: whether an odd number of its shingles fall on each bit."""
+    wide, out = 64 * longs, [np.zeros((0, longs), np.int64)]
     slot = (mix64(value ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(wide)).astype(np.int64)
-    for at in range(0, len(first) - 1, 256):
-        own = first[at : at + 257]
+    step = max(1, 256 * LONGS // longs)
+    for at in range(0, len(first) - 1, step):
+        own = first[at : at + step + 1]
         row = np.repeat(np.arange(len(own) - 1), np.diff(own))
         odd = np.bincount(row * wide + slot[own[0] : own[-1]], minlength=wide * (len(own) - 1)) & 1
         out.append(np.packbits(odd.astype(np.uint8).reshape(-1, wide), axis=1).view(np.int64))
     return np.concatenate(out)
 
 
+def wide_parities(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """For each set of more shingles than the narrowest bitmap has bits one of at least as many, a power of two; for others none."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        longs = 1 << (-(-(b - a) // 64) - 1).bit_length() if b - a > 64 * LONGS else 0
+        out.append(parities(value[a:b], np.array([0, b - a]), longs)[0] if longs else np.zeros(0, np.int64))
+    return out
+
+
 def _shingle(shared, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = RepeatFilter(shared.value)
@@ -102,8 +116,10 @@ def _shingle(shared, whole: bool):
                 length = n[k] // OF + 1
                 rare, often = own[~often][:length], own[often][: max(0, length - np.count_nonzero(~often))]
                 prefixes[k] = (often if whole else np.concatenate([rare, often])).view(np.int64)  # no other text has what the whole holds once
-            columns = [piece.column(0), piece.column(1), pa.array(_signatures(value, first)), pa.array(fp, pa.int64()), pa.array(n.astype(np.int32)), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["own", "digest", "sig", "fp", "n", "prefix"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(first), dtype=np.int32) * LONGS), pa.array(parities(value, first).reshape(-1)))
+            columns = [piece.column(0), piece.column(1), pa.array(_signatures(value, first)), pa.array(fp, pa.int64()), pa.array(n.astype(np.int32))]
+            columns += [pa.array(prefixes, pa.list_(pa.int64())), bits, pa.array(wide_parities(value, first), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["own", "digest", "sig", "fp", "n", "prefix", "bits", "wide"])
 
     return run
 
@@ -116,8 +132,8 @@ def _sets(shared):
         some = (b.filter(pa.array(asked.test(np.asarray(b.column(0)).view(np.uint64)))) for b in batches)
         for piece in pieces(some, "text"):
             value, first = shingle_sets(piece.column(1))
-            lists = [pa.ListArray.from_arrays(pa.array(f.astype(np.int32)), pa.array(v)) for f, v in ((first, value.view(np.int64)), (np.arange(len(first)) * LONGS, parities(value, first).reshape(-1)))]
-            yield pa.RecordBatch.from_arrays([pa.array(_signatures(value, first)), pa.array(np.diff(first).astype(np.int32)), *lists], names=["sig", "n", "shingles", "bits"])
+            shingles = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_signatures(value, first)), pa.array(np.diff(first).astype(np.int32)), shingles], names=["sig", "n", "shingles"])
 
     return run
 
@@ -139,21 +155,40 @@ def _near(a: str, b: str):
     return (OF + LEAST) * apart <= (OF - LEAST) * (F.col(f"n{a}") + F.col(f"n{b}"))
 
 
-def _maps(sets: DataFrame, c: str) -> list:
-    return [sets["n"].alias(f"n{c}"), *(F.get("bits", F.lit(k)).alias(f"{c}{k}") for k in range(LONGS))]
+def _maps(maps: DataFrame, c: str) -> list:
+    return [maps["n"].alias(f"n{c}"), *(F.get("bits", F.lit(k)).alias(f"{c}{k}") for k in range(LONGS))]
+
+
+def _near_wide():
+    """``_near`` by the widest bitmaps ``wu`` and ``wv`` that sets of sizes ``nu`` and ``nv`` have; similar sizes have widths at most one step apart."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    half = lambda x, n: F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), xor)
+    a, b = (F.when(F.size(x) > F.size(y), half(x, F.size(y))).otherwise(F.col(x)) for x, y in (("wu", "wv"), ("wv", "wu")))
+    apart = F.aggregate(F.zip_with(a, b, xor), F.lit(0), lambda total, x: total + F.bit_count(x))
+    return (OF + LEAST) * apart <= (OF - LEAST) * (F.col("nu") + F.col("nv"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` whose sets are similar enough."""
+def _similar(pairs: DataFrame, maps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(u, v)`` of similar sizes whose sets are similar enough; only the sets of those that the bitmaps allow are computed."""
+    widest = F.when(F.size("wide") > 0, F.col("wide")).otherwise(F.col("bits"))
     for c in "uv":
-        pairs = pairs.join(sets.select(F.col("sig").alias(c), *_maps(sets, c)).hint("merge"), c)
-    near = scratch(pairs.filter(_near("u", "v")).select("u", "v"), "near")
+        pairs = pairs.join(maps.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), widest.alias(f"w{c}")).hint("merge"), c)
+    near = scratch(pairs.filter(_near_wide()).select("u", "v"), "near")
+    ends = near.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    asked = scratch(maps.select("sig", "hash").join(ends, "sig").select("hash"), "asked")
+    expected = asked.count()
+    if not expected:
+        discard(asked)
+        return near
+    known = near.sparkSession.sparkContext.broadcast(repeat_filter(asked, _twice, filter_bits(expected)))
+    # a row may stand twice, and the filter knows a few texts that nobody asked for
+    sets = scratch(texts.transform(arrow_map, _sets(known), SETS).groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
     pairs = near
     for c in "uv":
         pairs = pairs.join(sets.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")).hint("merge"), c)
     both = F.size(F.array_intersect("su", "sv"))
     out = scratch(pairs.filter((OF + LEAST) * both >= LEAST * (F.col("nu") + F.col("nv"))).select("u", "v"), "links")
-    discard(near)
+    discard(near, asked, sets)
     return out
 
 
@@ -186,32 +221,29 @@ def _rooted(blocks: DataFrame, links: list[DataFrame]) -> DataFrame:
 
 
 def _candidates(keyed: DataFrame, ordered: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``rows (own, digest, sig, fp)`` of all texts; ``sets`` of those with candidates; ``blocks (sig, n, block)``. All are scratch tables."""
+    """``rows (own, digest, sig, fp, ..)`` of all texts; of those with candidates ``maps (sig, hash, n, bits, wide)``, hash being that of a row, and ``blocks (sig, n, block)``. All are scratch tables."""
     spark = keyed.sparkSession
     chars = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-(chars // 6) // ordered))
     sample = keyed.filter(F.pmod(F.xxhash64("digest"), F.lit(parts)) == 0).select("digest", "text").dropDuplicates(["digest"])
     shared = spark.sparkContext.broadcast(repeat_filter(sample.select("text"), _distinct, filter_bits(chars // 6 // parts)))
     every = scratch(keyed.transform(arrow_map, _shingle(shared, parts == 1), SHINGLED), "shingled")
-    prefixes = scratch(every.filter(F.size("prefix") > 0).groupBy("sig").agg(F.min(F.struct("own", "digest")).alias("one"), F.first("prefix").alias("prefix")), "prefixes")
-    rows = scratch(every.select("own", "digest", "sig", "fp"), "rows")
+    prefixes = scratch(every.filter(F.size("prefix") > 0).groupBy("sig").agg(F.first("prefix").alias("prefix")), "prefixes")
+    rows = scratch(every.drop("prefix"), "rows")
     discard(every)
     expected = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     found = suspected(prefixes.select("sig", "prefix"), _prefixes, expected)
-    ones = scratch(prefixes.select("sig", F.xxhash64("one.own", "one.digest").alias("hash")), "ones")
     discard(prefixes)
-    shares = found.groupBy("hash").agg(F.count("*").alias("members")).filter("members > 1").select("hash")
+    members = [F.count("*").alias("members"), *(F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"mark{k}") for k in (1, 2))]
+    shares = found.groupBy("hash").agg(*members).filter("members > 1").groupBy("members", "mark1", "mark2").agg(F.min("hash").alias("hash")).select("hash")
     some = scratch(found.join(shares, "hash").select(F.col("key").alias("sig"), F.col("hash").alias("block")), "shares")
     discard(found)
-    asked = scratch(ones.join(some.select("sig").distinct(), "sig").select("hash"), "asked")
-    known = spark.sparkContext.broadcast(repeat_filter(asked, _twice, filter_bits(asked.count())))
-    discard(ones, asked)
-    texts = keyed.select(F.xxhash64("own", "digest").alias("hash"), "text")
-    # a row may stand twice, and the filter knows a few texts that nobody asked for
-    sets = scratch(texts.transform(arrow_map, _sets(known), SETS).groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "bits"))), "sets")
-    blocks = scratch(some.join(sets.select("sig", "n").hint("merge"), "sig").select("sig", "n", "block"), "blocks")
+    own = rows.join(some.select("sig").distinct().hint("merge"), "sig", "left_semi").groupBy("sig")
+    own = own.agg(F.min(F.struct("own", "digest")).alias("one"), *(F.first(c).alias(c) for c in ("n", "bits", "wide")))
+    maps = scratch(own.select("sig", F.xxhash64("one.own", "one.digest").alias("hash"), "n", "bits", "wide"), "maps")
+    blocks = scratch(some.join(maps.select("sig", "n").hint("merge"), "sig").select("sig", "n", "block"), "blocks")
     discard(some)
-    return rows, sets, blocks
+    return rows, maps, blocks
 
 
 def near_copies(keyed: DataFrame, ordered: int = ORDERED) -> DataFrame:
@@ -223,7 +255,8 @@ def near_copies(keyed: DataFrame, ordered: int = ORDERED) -> DataFrame:
     for the order, which the result does not depend on.
     """
     keyed = keyed.select("own", "digest", F.coalesce("text", F.lit("")).alias("text"))
-    rows, sets, blocks = _candidates(keyed, ordered)
+    rows, maps, blocks = _candidates(keyed, ordered)
+    texts = keyed.select(F.xxhash64("own", "digest").alias("hash"), "text")
     links = [_fingerprint_links(rows)]
     left = blocks.withColumn("root", F.col("sig"))
     for draw in range(DRAWS):
@@ -231,17 +264,17 @@ def near_copies(keyed: DataFrame, ordered: int = ORDERED) -> DataFrame:
         hubs = scratch(left.groupBy("block").agg(drawn, F.count("*").alias("members")).filter("members > 1").select("block", "h.v", "h.m", "h.other"), "hubs")
         pairs = left.join(hubs, "block").filter("root <> other").filter(_fit("n", "m")).select(F.col("sig").alias("u"), "v").distinct()
         pairs = scratch(pairs, "pairs")
-        links.append(_similar(pairs, sets))
+        links.append(_similar(pairs, maps, texts))
         discard(hubs, pairs)
         if draw:
             discard(left)
         left = _rooted(blocks, links)
-    mapped = scratch(left.join(sets.select("sig", "bits").hint("merge"), "sig"), "mapped")
+    mapped = scratch(left.join(maps.select("sig", "bits").hint("merge"), "sig"), "mapped")
     one, two = (mapped.select("block", F.col("sig").alias(c), F.col("root").alias(f"r{c}"), *_maps(mapped, c)) for c in "uv")
     every = one.join(two.hint("merge"), "block").filter("ru < rv").filter(_fit("nu", "nv")).filter(_near("u", "v"))
     found = scratch(every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "found")
     discard(left, mapped)
-    links.append(_similar(found.distinct(), sets))
+    links.append(_similar(found.distinct(), maps, texts))
     every = links[0]
     for more in links[1:]:
         every = every.union(more)

@@ -112,3 +112,39 @@ def test_only_candidates_keep_their_sets(spark):
     docs = spark.createDataFrame(rows, "own long, text string").withColumn("digest", F.md5("text"))
     _, sets, blocks = nearcopies._candidates(docs.select("own", "digest", "text"), 300)
     assert sets.count() == 2 and blocks.select("sig").distinct().count() == 2
+
+
+def test_bitmaps_of_two_widths(spark):
+    """Long near copies whose numbers of shingles lie on both sides of a bitmap's width, and pairs just too far apart."""
+    rnd, rows = random.Random(21), []
+    for size in (1026, 2050, 4100):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        for edits, more in ((0, 0), (0, 9), (size // 60, 0), (size // 41, 12), (size // 25, 0)):
+            w = base + [f"m{rnd.randrange(10**6)}" for _ in range(more)]
+            for _ in range(edits):
+                w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    want, distinct = kept(rows)
+    assert sorted(r.doc_id for r in stage(spark, rows).collect()) == want
+    assert 3 < len(want) < distinct
+
+
+def test_common_passage_makes_few_blocks_and_no_set(spark, monkeypatch):
+    """Long texts that share a passage are no near copies: few blocks stand for the passage, and the bitmaps tell, so no set is computed."""
+    rnd = random.Random(13)
+    passage = [f"p{k}" for k in range(900)]
+    rows = [(i, " ".join([f"w{rnd.randrange(10**9)}" for _ in range(2200)] + passage)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "own long, text string").withColumn("digest", F.md5("text"))
+    _, _, blocks = nearcopies._candidates(docs.select("own", "digest", "text"), 300)
+    assert blocks.select("block").distinct().count() < 10  # the cut of a prefix makes some more; hundreds of shingles are shared
+    made, write = [], nearcopies.scratch
+
+    def recorded(df, name):
+        out = write(df, name)
+        if name == "sets" or (name in ("near", "found") and out.count()):
+            made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "scratch", recorded)
+    got = nearcopies.near_copies(docs.select("own", "digest", "text"), 300).collect()
+    assert len({r.root for r in got}) == 4 and not [x for x in made if x[0] != "found"]
