@@ -105,7 +105,7 @@ class SheetMatrices:
         w = self.matrix(spec, params)
         if not spec.startswith("I"):
             raise ValueError("only matrices to the ice grid are smoothed")
-        return WeightedMatrix(coo.multiply(smoother, w.M), w.wM, w.Mw, False, w.scaled)
+        return WeightedMatrix(coo.multiply_blocks(smoother, w.M), w.wM, w.Mw, False, w.scaled)
 
 
 def class_areas(m: SheetMatrices) -> DataFrame:

@@ -294,3 +294,28 @@ def test_masks_are_never_broadcast(spark):
     plan = sheet(spark).matrix("IvA").M._jdf.queryExecution().executedPlan().toString()
     scans = plan.split("BroadcastExchange")[1:]
     assert not any("elev" in x.split("Join")[0] for x in scans) and "SortMergeJoin [i_id" in plan
+
+
+def test_smoothed_matrices_shuffle_no_products(spark):
+    """Entries meet a block's factors and are dealt out by block; only then they are multiplied, and nothing is broadcast."""
+    pts = spark.createDataFrame([(k, float(k), 0.0, 0.0, 1.0 + k % 3) for k in range(8)], "idx long, x double, y double, z double, area double")
+    m, s = sheet(spark), smoothing_matrix(pts, (1.0, 0.0, 0.0))
+    got = m.smoothed("IvA", s).M
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(to")] and "Broadcast" not in plan
+    want = {(r, c): v for r, c, v in rows(coo.multiply(s, m.matrix("IvA").M))}
+    assert want and {(r, c): v for r, c, v in rows(got)} == pytest.approx(want)
+
+
+def test_product_by_blocks(spark):
+    left = {(r, k): None if (r, k) == (3, 4) else r + 0.5 * k + 1 for r in range(-9, 30) for k in range(12) if (r * 7 + k) % 3}
+    right = {(k, c): k - 0.25 * c for k in range(3, 15) for c in range(5) if (k + c) % 2}
+    frame = lambda m, twice=(): spark.createDataFrame([(r, c, v) for (r, c), v in m.items()] + [(*x, m[x]) for x in twice], "row long, col long, val double")
+    want = {}
+    for (r, k), v in [*left.items(), ((5, 8), left[5, 8])]:
+        for (k2, c), w in right.items():
+            if k == k2:
+                want[r, c] = want.get((r, c), 0.0) + (0.0 if v is None else v * w)
+    for block in (1, 7, 1024):
+        out = rows(coo.multiply_blocks(frame(left, [(5, 8)]), frame(right), block))
+        assert len(out) == len(want) and {(r, c): v for r, c, v in out} == pytest.approx(want)
