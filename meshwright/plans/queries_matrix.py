@@ -10,7 +10,7 @@ from ..operators import coo, elevation, l1, merging
 from ..operators.matrices import SheetMatrices
 from ..operators.smoothing import smoothing_matrix
 from .registry import load, query
-from .sample import AREAS, EXCHANGE, HCDEFS, ICE, N_A, RASTER, areas, exchange, extent, ice_mask, raster, rounded
+from .sample import AREAS, EXCHANGE, HCDEFS, ICE, N_A, RASTER, areas, exchange, extent, ice_mask, raster, rounded, rounded_shares
 
 M = f"SELECT a_id AS row, i_id AS col, area AS val FROM ({EXCHANGE})"
 
@@ -208,7 +208,7 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 for _name, _sx, _sy, _sz in (("smoothing_3d", 1.0, 1.5, 2.0), ("smoothing_2d", 0.5, 0.5, 0.0)):
     _d2 = f"pow((a.x - b.x) / {_sx}, 2) + pow((a.y - b.y) / {_sy}, 2)" + (f" + pow((a.z - b.z) / {_sz}, 2)" if _sz else "")
-    query(f"WITH p AS ({_PTS}), r AS (SELECT a.idx AS row, b.idx AS col, exp(-0.5 * ({_d2})) * b.area AS v FROM p a, p b WHERE {_d2} < 4) SELECT row, col, round(v / sum(v) OVER (PARTITION BY row), 6) AS val FROM r", _name)(lambda spark, sf, s=(_sx, _sy, _sz): rounded(smoothing_matrix(_points(spark, sf), s), "val"))
+    query(f"WITH p AS ({_PTS}), r AS (SELECT a.idx AS row, b.idx AS col, exp(-0.5 * ({_d2})) * b.area AS v FROM p a, p b WHERE {_d2} < 4) SELECT row, col, round(v / sum(v) OVER (PARTITION BY row), 6) AS val FROM r", _name)(lambda spark, sf, s=(_sx, _sy, _sz): rounded_shares(smoothing_matrix(_points(spark, sf), s, parts=16), "val"))
 
 
 @query("SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col, round(v, 9) AS val FROM (VALUES (0, 0, 2 / 3.0::DOUBLE), (0, 1, 2 / 3.0::DOUBLE), (0, 2, 2 / 3.0::DOUBLE), (0, 3, 2 / 3.0::DOUBLE), (0, 4, 4 / 3.0::DOUBLE)) t(r, c, v)")

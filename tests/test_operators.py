@@ -12,6 +12,8 @@ from meshwright.functions.projection import PolarStereographic
 from meshwright.operators import coo, elevation, l1, merging, overlap_ll, overlap_poly, topo
 from meshwright.operators.matrices import SheetMatrices
 from meshwright.operators.smoothing import smoothing_matrix
+from meshwright.plans import queries as own
+from meshwright.plans.sample import rounded_shares
 from meshwright.sources import gridgen
 
 RING = "array<struct<vid:bigint,x:double,y:double>>"
@@ -319,3 +321,33 @@ def test_product_by_blocks(spark):
     for block in (1, 7, 1024):
         out = rows(coo.multiply_blocks(frame(left, [(5, 8)]), frame(right), block))
         assert len(out) == len(want) and {(r, c): v for r, c, v in out} == pytest.approx(want)
+
+
+def test_smoothing_deals_the_rows_of_a_full_bucket_over_tasks(spark, tmp_path):
+    """Vectors that share a bucket: no task makes most entries, and pow and the rounding through decimals, slow as they are, don't come back."""
+    vectors = [(k, [0.01 + k % 17 * 0.005, 0.01 + k % 13 * 0.005, 0.01 + k % 11 * 0.005], k % 3) for k in range(200)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("smoothing_3d", "smoothing_2d"):
+        df = own.queries()[name](spark, str(tmp_path))
+        by_task = [n for _, n in rows(df.groupBy(F.spark_partition_id()).count())]
+        assert sum(by_task) > 10000 and max(by_task) < 0.4 * sum(by_task)
+        plan = df._jdf.queryExecution().executedPlan().toString().lower()
+        assert "pow" not in plan and "round(" not in plan
+
+
+def test_smoothing_in_parts_is_the_same_matrix(spark):
+    """A row without neighbours, an id that occurs twice and negative places included."""
+    pts = spark.createDataFrame([(k % 39, k % 7 * 0.4 - 1, k % 5 * -0.4, k * 0.1, 1.0 + k % 3) for k in range(40)] + [(99, 500.0, 0.0, 0.0, 2.0)], "idx long, x double, y double, z double, area double")
+    for by_column in (False, True):
+        whole, split = (sorted(rows(smoothing_matrix(pts, (1.0, 0.5, 1.5), by_column=by_column, parts=n))) for n in (1, 5))
+        assert [x[:2] for x in whole] == [x[:2] for x in split] and [x[2] for x in split] == pytest.approx([x[2] for x in whole], rel=1e-12)
+        assert (99, 99, 2.0 if by_column else 1.0) in split
+
+
+def test_shares_are_rounded_as_duckdb_rounds(spark):
+    import duckdb
+
+    values = [0.0, 1.0, 0.5, 1 / 3, 4.9999999e-7, 5e-7, 1.5e-6, 2.5e-6, 1.25e-5, 0.1234565, 0.9999995, 0.99999949, 1e-300, *(k / 7919 for k in range(1, 7919, 13))]
+    want = duckdb.execute("SELECT round(v, 6) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").coalesce(1)
+    assert [v for v, in rows(rounded_shares(df, "v"))] == [*(v for v, in want), None]
